@@ -222,7 +222,7 @@ def components(edges: DataFrame, limit: int = 4_000_000) -> DataFrame:
     beyond, alternating large and small stars, each round a reliable checkpoint."""
     edges = cut(edges.select("a", "b").distinct())
     if edges.count() <= limit:
-        return edges.groupBy(F.lit(0)).applyInArrow(_components_here, "doc_id long, keep long")
+        return edges.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(_components_here, "doc_id long, keep long")
     while True:
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
