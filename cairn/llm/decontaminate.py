@@ -183,6 +183,7 @@ def _scan(seeds: Seeds, score: float, batches: Iterator[pa.RecordBatch]) -> Iter
 def leaks(docs: DataFrame, items: DataFrame, score: float = SCORE, part_words: int = PART_WORDS) -> DataFrame:
     """(doc_id, item_id, score) of every leaking pair."""
     spark = docs.sparkSession
+    kernel.frugal(docs.sparkSession)
     words = cut(_item_words(items))
     size = words.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
     parts = int(size // part_words) + 1

@@ -24,7 +24,7 @@ def distance(codes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _keys(codes: np.ndarray, q: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """dist << 40 | id << 1 | 1 (not expanded yet) for every id (-1: none) against its row's query."""
     d = np.bitwise_count(codes[q, 0][:, None] ^ codes[ids, 0]) + np.bitwise_count(codes[q, 1][:, None] ^ codes[ids, 1])
-    key = (d.astype(np.uint64) << np.uint64(40)) | (ids.astype(np.uint64) << np.uint64(1)) | np.uint64(1)
+    key = (d.astype(np.uint64) << np.uint64(40)) | (ids.astype(np.int64).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
     key[ids < 0] = _NONE
     return key
 
@@ -44,14 +44,14 @@ class Graph:
     def __init__(self, codes: np.ndarray):
         self.codes = codes
         n = self.n = len(codes)
-        self.links = np.full((n, OWN + BACK), -1, np.int64)
+        self.links = np.full((n, OWN + BACK), -1, np.int32)
         self.near = self._rotations()
         self._build()
 
     def _rotations(self) -> np.ndarray:
         """Neighbours of each node in the sorted orders of its rotated codes."""
         n = self.n
-        out = np.full((n, ROTATIONS * 4), -1, np.int64)
+        out = np.full((n, ROTATIONS * 4), -1, np.int32)
         a, b = self.codes[:, 0], self.codes[:, 1]
         for r in range(ROTATIONS):
             s = np.uint64(r * 128 // ROTATIONS % 64)
@@ -71,7 +71,7 @@ class Graph:
         if done > 1:
             self._link(at, _merge(_keys(self.codes, at, np.where(at[None, :] == at[:, None], -1, at[None, :])), OWN))
         while done < self.n:
-            new = np.arange(done, min(self.n, done + max(256, min(done // 2, 8192))))
+            new = np.arange(done, min(self.n, done + max(256, min(done // 2, 4096))))
             near = self.near[new]
             near = np.where(near < new[:, None], near, -1)  # only what is inserted, this round included
             early = (new[:, None] * 7919 + np.arange(SEEDS)[None, :] * 31) % min(done, 256)
@@ -141,7 +141,7 @@ class Graph:
             if len(left):
                 ef *= 2
                 parts = []
-                step = max(1, (1 << 22) // ef)
+                step = max(1, (1 << 20) // ef)
                 for s in range(0, len(left), step):
                     k = np.pad(keys[s : s + step], ((0, 0), (0, ef - keys.shape[1])), constant_values=_NONE)
                     # the nodes that were cut off are found again through the links of expanded ones
@@ -155,7 +155,7 @@ class Graph:
 
 def exact(codes: np.ndarray, q: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     rows, found = [], []
-    step = max(1, (1 << 23) // max(1, len(codes)))
+    step = max(1, (1 << 21) // max(1, len(codes)))
     for s in range(0, len(q), step):
         p = q[s : s + step]
         d = np.bitwise_count(codes[p, 0][:, None] ^ codes[None, :, 0]) + np.bitwise_count(codes[p, 1][:, None] ^ codes[None, :, 1])
@@ -186,7 +186,7 @@ def neighbours(codes: np.ndarray, radius: int, ef: int = 16, audit: int = 64, re
         if np.isin(truth, sample[i] * n + j).mean() >= recall:
             break
         width *= 2
-    step = 16384
+    step = 4096
     for s in range(0, n, step):
         q = np.arange(s, min(n, s + step))
         i, j = g.search(q, width, radius) if width <= 8 * ef else exact(codes, q, radius)

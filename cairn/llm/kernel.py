@@ -13,7 +13,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text bytes that a kernel works on at once; a longer document is a chunk of its own.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
+#: Rows of an Arrow batch, where the session has Spark's default: a batch of long texts is large.
+BATCH_ROWS = 2000
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _PINV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -34,6 +36,13 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _pow[0][:n], _pow[1][:n]
 
 
+def frugal(spark) -> None:
+    """Smaller Arrow batches for this session, unless it has its own setting: two workers of an executor
+    and the JVM hold a few batches each."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values whose output bits all depend on all input bits."""
     x = x ^ (x >> np.uint64(30))

@@ -113,6 +113,7 @@ def train(docs: DataFrame, idf: np.ndarray, sample: int = SAMPLE, k: int = CENTR
 def identify(docs: DataFrame, labelled: DataFrame | None = None, drop: tuple[str, ...] = ("text",)) -> DataFrame:
     """Every row of ``docs`` with ``lang_id`` and ``similarity``. ``labelled`` (doc_id, lang, text): the
     rows to train on, ``docs`` itself if not given."""
+    kernel.frugal(docs.sparkSession)
     idf = frequencies(docs)
     langs, centroids, least = train(docs if labelled is None else labelled, idf)
     assert centroids.nbytes <= BROADCAST_BYTES, "fewer centroids or buckets: the model is broadcast"

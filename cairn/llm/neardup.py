@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import graph, kernel
+from cairn.operators.graph import components
 from cairn.session import BROADCAST_BYTES, cut
 
 RADIUS = 24
@@ -36,6 +37,7 @@ SKETCH = 64
 SHARD = 200_000
 SHINGLE = 3
 _C2 = np.uint64(0xA24BAED4963EE407)
+_SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
 
 
 def _shingles(w: kernel.Words, bits: int = 44) -> tuple[np.ndarray, np.ndarray]:
@@ -53,7 +55,7 @@ def _shingles(w: kernel.Words, bits: int = 44) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in kernel.chunks(batches, limit=2 << 20):
+    for b in kernel.chunks(batches):
         b = b.filter(pc.is_valid(b.column("doc_id")))
         w = kernel.Words(b.column("text"))
         count = np.diff(w.first)
@@ -71,10 +73,13 @@ def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # SimHash of the distinct words
         doc, h = kernel.distinct_per_doc(w.doc, w.hash, 44)
         both = np.stack([kernel.mix(h), kernel.mix(h + _C2)], 1)
-        bits = np.unpackbits(both.view(np.uint8).reshape(len(h), 16), axis=1)
         first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
         size = np.diff(np.r_[first, len(doc)])
-        ones = np.stack([np.add.reduceat(bits[:, k], first, dtype=np.int32) for k in range(128)], 1)
+        # each bit of a byte in a byte of its own: a sum of up to 255 rows of these words counts 8 bits at once
+        part = np.union1d(first, np.arange(0, len(doc), 255))
+        lanes = _SPREAD[both.view(np.uint8).reshape(len(h), 16)]
+        ones = np.add.reduceat(lanes, part, axis=0).view(np.uint8)
+        ones = np.add.reduceat(ones.astype(np.int32), np.searchsorted(part, first), axis=0)
         codes = np.packbits(2 * ones > size[:, None], axis=1).view(np.uint64)
         # shingles: number, sketch, minima of residue classes
         doc, h = _shingles(w)
@@ -185,18 +190,6 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(at), pa.array(h.astype(np.int64)))], ["doc_id", "grams"])
 
 
-def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        x, y = b.column("x"), b.column("y")
-        j = np.zeros(b.num_rows)
-        for k in range(b.num_rows):
-            p, q = x[k].values.to_numpy(), y[k].values.to_numpy()
-            both = len(np.intersect1d(p, q, assume_unique=True))
-            j[k] = both / max(1, len(p) + len(q) - both)
-        ok = pa.array(j >= JACCARD)
-        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(j)], ["a", "b", "jaccard"]).filter(ok)
-
-
 def verify(edges: DataFrame, docs: DataFrame) -> DataFrame:
     """The edges whose 3-gram sets have a Jaccard of at least JACCARD."""
     edges = cut(edges)
@@ -205,47 +198,21 @@ def verify(edges: DataFrame, docs: DataFrame) -> DataFrame:
         ends = F.broadcast(ends)
     grams = docs.select("doc_id", "text").join(ends, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, grams array<long>")
     x, y = (grams.select(F.col("doc_id").alias(k), F.col("grams").alias(g)) for k, g in (("a", "x"), ("b", "y")))
-    return edges.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_agree, "a long, b long, jaccard double")
-
-
-def _components_here(t: pa.Table) -> pa.Table:
-    a, b = t.column("a").to_numpy(), t.column("b").to_numpy()
-    ids = np.unique(np.concatenate([a, b]))
-    u = _Union(len(ids))
-    for x, y in zip(np.searchsorted(ids, a).tolist(), np.searchsorted(ids, b).tolist()):
-        u.join(x, y)
-    return pa.table({"doc_id": ids, "keep": ids[u.roots()]})
-
-
-def components(edges: DataFrame, limit: int = 4_000_000) -> DataFrame:
-    """(doc_id, keep): the least id that each id is connected to. Up to ``limit`` edges in one task;
-    beyond, alternating large and small stars, each round a reliable checkpoint."""
-    edges = cut(edges.select("a", "b").distinct())
-    if edges.count() <= limit:
-        return edges.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(_components_here, "doc_id long, keep long")
-    while True:
-        both = edges.union(edges.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        small = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b")
-        low = small.groupBy("a").agg(F.min("b").alias("m"))
-        new = small.join(low, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").filter("a <> b").distinct()
-        new = cut(new)
-        if new.count() == edges.count() and not new.exceptAll(edges).take(1):
-            break
-        edges = new
-    return edges.groupBy("a").agg(F.min("b").alias("keep")).select(F.col("a").alias("doc_id"), "keep").union(edges.select("b", "b").distinct()).groupBy("doc_id").agg(F.min("keep").alias("keep"))
+    both = F.size(F.array_intersect("x", "y"))
+    j = edges.join(x, "a").join(y, "b").select("a", "b", (both / (F.size("x") + F.size("y") - both)).alias("jaccard"))
+    return j.filter(F.col("jaccard") >= JACCARD)
 
 
 def groups(docs: DataFrame) -> DataFrame:
     """(doc_id, keep) for every document that has a duplicate or is one; ``keep`` is its group's least doc_id."""
+    kernel.frugal(docs.sparkSession)
     prints = cut(docs.select("doc_id", "text").mapInArrow(_fingerprint, FINGERPRINT))
     keys = prints.select("doc_id", "c1", "c2")
     lead = keys.groupBy("c1", "c2").agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("last"))
     copies = keys.join(lead.filter("node < last"), ["c1", "c2"]).filter("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b")).distinct()
     nodes = cut(prints.join(lead.select(F.col("node").alias("doc_id"), "c1", "c2"), ["doc_id", "c1", "c2"], "left_semi"))
     near = verify(candidate_edges(nodes, nodes.count()), docs)
-    return components(copies.union(near.select("a", "b")))
+    return components(copies.union(near.select("a", "b"))).select(F.col("id").alias("doc_id"), F.col("root").alias("keep"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -267,6 +267,7 @@ def thresholds(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, s
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK, drop: tuple[str, ...] = (), limit: int = BROADCAST_BYTES) -> DataFrame:
     """The accepted rows of ``docs`` with ``perplexity`` and ``threshold``."""
+    kernel.frugal(docs.sparkSession)
     m, limits = thresholds(docs, labels, quantile, slack)
     some = docs.filter(F.octet_length("text") > 0)
     out = score(some, m, limit, drop).withColumn("_lang", F.coalesce("lang", F.lit("")))

@@ -166,6 +166,7 @@ def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def dedup(docs: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """``docs`` with cleaned ``text`` and ``_removed``, the number of pieces that went. The removals are
     joined by a broadcast up to ``limit`` bytes, otherwise by a shuffled hash join whose table they are."""
+    kernel.frugal(docs.sparkSession)
     r = cut(removals(docs))
     size = r.agg(F.coalesce(F.sum(F.size("cuts") * 8 + 24), F.lit(0))).first()[0]
     r = F.broadcast(r) if size <= limit else r.hint("shuffle_hash")

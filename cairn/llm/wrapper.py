@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.llm import kernel
 from cairn.session import BROADCAST_BYTES, cut
 
 SUPPORT = 0.6
@@ -254,6 +255,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def extract(pages: DataFrame, support: float = SUPPORT) -> DataFrame:
     """``pages`` (url, html and a page_id) with host, content, n_template and n_slots instead of html."""
+    kernel.frugal(pages.sparkSession)
     pages = pages.withColumn("host", F.nullif(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit("")))
     whole = pages.filter("html is not null")
     lead = whole.filter("host is not null").groupBy("host").agg(F.min(F.struct(F.xxhash64("page_id"), "page_id")).alias("m"), F.count(F.lit(1)).alias("pages"))
