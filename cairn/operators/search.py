@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 from operator import and_
 
@@ -86,13 +87,17 @@ def _word_score(q: str, words: str) -> Column:
     return F.coalesce(F.greatest(rest, F.array_max(F.transform(words, one))), rest)
 
 
+def _near(w: str) -> Callable[[Column], Column]:
+    return lambda o: (o == w) | o.startswith(w) if len(w) >= 4 else o == w
+
+
 def fuzzy(persons: DataFrame, query: str, limit: int = 80) -> DataFrame:
     """persons (entity, words, cis, places) with score, best first. Words score by equality, prefix, part or
     edit distance, numbers by equality, part or one digit; a place only adds where one of those did."""
     words = re.sub("[^A-Z0-9]+", " ", query.upper().translate(_PLACES)).split()
     name = reduce(lambda a, b: a + b, [_word_score(w, "words") for w in words], F.lit(0))
     number = _number_score(query.strip(), "cis")
-    near = [F.exists("places", lambda o, w=w: (o == w) | (F.lit(len(w) >= 4) & o.startswith(w))) for w in words]
+    near = [F.exists("places", _near(w)) for w in words]
     place = F.when(reduce(lambda a, b: a | b, near, F.lit(False)), 12).otherwise(0)
     out = persons.withColumn("_n", name).withColumn("_c", number).filter((F.col("_n") >= 40) | (F.col("_c") > 0))
     return out.withColumn("score", (F.col("_n") + F.col("_c") + place).cast("int")).drop("_n", "_c").orderBy(F.col("score").desc(), "entity").limit(limit)

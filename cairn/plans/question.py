@@ -14,7 +14,7 @@ from cairn.operators import search
 
 _STATUS = [("fallecid", "fallecido"), ("muert", "fallecido"), ("herid", "herido"), ("hospital", "ingresado"), ("ingresad", "ingresado"), ("desaparecid", "por_localizar"), ("por localizar", "por_localizar"), ("buscan", "por_localizar"), ("encontrad", "localizado"), ("localizad", "localizado"), ("a salvo", "localizado")]
 _CENTER = re.compile(r"\b(centros?|acopio|refugios?|albergues?|donde (?:dono|llevo|donar)|donar|necesitan)\b")
-_SMALL = set("a al busco como con cuantas cuantos de del donde el en es esta estan estas este hay la las lo los me mi para por que quien quienes se sobre su un una y".split())
+_SMALL = set("a al busco como con cuantas cuantos de del donde el en es esta estan estas este hay la las lo los me mi para por que quien quienes se sobre son su un una y".split())
 _TALK = re.compile(r"\b(persona|personas|gente|llamad[oa]s?|nombre|apellido|cedula|ci|informacion|saber|necesito|favor|alguien|encuentra|encuentran|estado)\b")
 
 
