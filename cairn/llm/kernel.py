@@ -6,6 +6,7 @@ hash is a polynomial of its bytes modulo 2**64 (prefix sums times inverse powers
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,6 +53,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker that waits for its next task would hold it."""
+    if len(_pow[0]) > 2 * CHUNK_BYTES:
+        _pow[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def text_buffer(col: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; a null counts as an empty text."""
     if isinstance(col, pa.ChunkedArray):
@@ -78,6 +89,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = C
         cuts = np.flatnonzero(np.diff(group)) + 1
         for s, e in zip(np.r_[0, cuts], np.r_[cuts, b.num_rows]):
             yield b.slice(int(s), int(e - s))
+    give_back()
 
 
 class Words:
