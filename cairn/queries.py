@@ -373,12 +373,12 @@ _RELATION = """case when length({a}) < 6 or length({b}) < 6 then 'none' when {a}
 _PAIRS = f"""{ctes('person_records')}, prof as (select record_id, name_key, ci, try_cast(nullif(age, '') as integer) yrs, {TOKENS.format('name_key')} words from person_records),
 blocks as (select record_id, 'N' || substr(words[1], 1, 3) block from (select record_id, list_sort(words) words from prof) union select record_id, 'C' || substr(ci, 1, 4) from prof where length(ci) >= 6),
 pairs as (select distinct x.record_id i, y.record_id j from blocks x join blocks y on x.block = y.block and x.record_id < y.record_id)"""
-_REASONS = f"""{_PAIRS}, df as (select token, count(*) n from (select record_id, unnest(words) token from prof) group by token), common as (select list(token) c from df where n >= greatest(4, floor(0.004e0 * (select count(*) from prof)))),
+_REASONS = f"""{_PAIRS}, df as (select token, count(*) n from (select record_id, unnest(words) token from prof) group by token), common as (select coalesce(list(token), []) c from df where n >= greatest(4, floor(0.004e0 * (select count(*) from prof)))),
 multi as (select name_key from prof where ci <> '' group by name_key having count(distinct ci) >= 2),
 x as (select i, j, a.name_key ka, b.name_key kb, a.yrs ya, b.yrs yb, {_RELATION.format(a='a.ci', b='b.ci')} rel, list_intersect(a.words, b.words) s, least(len(a.words), len(b.words)) m,
-  a.name_key in (select name_key from multi) or b.name_key in (select name_key from multi) shared from pairs join prof a on a.record_id = i join prof b on b.record_id = j),
+  a.name_key in (select name_key from multi) or b.name_key in (select name_key from multi) shared, c from pairs join prof a on a.record_id = i join prof b on b.record_id = j cross join common),
 verdict as (select i, j, case when m = 0 then '' when rel = 'equal' and len(s) > 0 then 'ci_equal' when rel = 'flip' and len(s) > 0 and len(s) / m >= 0.5e0 then 'ci_flip+name' when rel = 'diff' then ''
-  when abs(ya - yb) > 1 then '' when shared or (len(s) between 1 and 2 and len(list_filter(s, lambda t: not list_contains((select c from common), t))) = 0) then 'common_name_needs_strong_id'
+  when abs(ya - yb) > 1 then '' when shared or (len(s) between 1 and 2 and len(list_filter(s, lambda t: not list_contains(c, t))) = 0) then 'common_name_needs_strong_id'
   when ka = kb then 'name_exact' when len(s) >= 2 and len(s) = m then 'name_subset' when len(s) >= 2 and len(s) / m >= 0.67e0 then 'name_overlap' else '' end reason from x)"""
 
 
