@@ -8,7 +8,7 @@ placeholder expands to. Everything is Catalyst expressions, with one shuffle, by
 Defined results: messages are ordered by (turn, role, parts), nulls first, and repeated rows stay as so
 many messages; a null role is 'unknown'; null or empty parts give an empty message; a null text is empty; parts of an
 unknown type render as <|unsupported:type|>, without tokens or attachment; missing sizes count as 0; a null conv_id
-is a conversation of its own.
+is a conversation of its own; an empty table gives no rows; other columns play no part.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@
 The benchmark travels to the tasks in parts of at most PART_WORDS words; a larger one takes more passes.
 
 Defined results: null ids or texts on either side and texts without a word match nothing; repeated rows
-give one pair; items of equal words each give theirs; the best passage of a pair counts.
+give one pair; items of equal words each give theirs; the best passage of a pair counts; an empty table on
+either side gives no pairs; other columns play no part (the stage keeps them).
 """
 
 from __future__ import annotations

@@ -44,6 +44,20 @@ def frugal(spark) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def without(df, *names: str):
+    """``df`` less its columns of these names: an input column named as a result's gives way to it."""
+    low = {n.lower() for n in names}
+    return df.drop(*[df[c] for c in df.columns if c.lower() in low])
+
+
+def aside(df, *names: str):
+    """(``df`` with its columns of these names renamed, a function that gives a result the columns of ``df`` back)."""
+    low = {n.lower() for n in names}
+    new = [f"{c}__kept" if c.lower() in low else c for c in df.columns]
+    names_ = df.columns
+    return df.toDF(*new), lambda out: out.select(*new).toDF(*names_)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values whose output bits all depend on all input bits."""
     x = x ^ (x >> np.uint64(30))

@@ -7,7 +7,8 @@ centroids per language. A text gets the language of the centroid of the greatest
 cosine is below that language's limit: REJECT times the 1 % quantile of its training texts.
 
 Defined results: texts without a letter and null texts are 'und' with similarity 0; rows keep null
-and repeated doc_ids; without labelled rows everything is 'und'; ties go to the alphabetically first language.
+and repeated doc_ids; without labelled rows everything is 'und'; ties go to the alphabetically first language;
+an empty table gives an empty one; columns named ``lang_id`` or ``similarity`` give way to the results.
 """
 
 from __future__ import annotations
@@ -114,6 +115,7 @@ def identify(docs: DataFrame, labelled: DataFrame | None = None, drop: tuple[str
     """Every row of ``docs`` with ``lang_id`` and ``similarity``. ``labelled`` (doc_id, lang, text): the
     rows to train on, ``docs`` itself if not given."""
     kernel.frugal(docs.sparkSession)
+    docs = kernel.without(docs, "lang_id", "similarity")
     idf = frequencies(docs)
     langs, centroids, least = train(docs if labelled is None else labelled, idf)
     assert centroids.nbytes <= BROADCAST_BYTES, "fewer centroids or buckets: the model is broadcast"

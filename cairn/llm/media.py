@@ -7,7 +7,8 @@ batch). All colour types, bit depths and Adam7 interlacing are decoded. The hash
 frequencies of the cosine transform of the 32x32 grey image: a bit for each above their median.
 
 Defined results: a null image gives null status; a faulty one a status that names the fault, null hash
-and what of its header could be read; other columns are kept; an image larger than MAX_PIXELS is refused
+and null sizes; repeated rows are decoded each; an empty table gives an empty one; other columns are
+kept, but those named as a result give way; an image larger than MAX_PIXELS is refused
 as 'too large' (a decompression bomb would end the task otherwise).
 """
 
@@ -22,6 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from cairn.llm import kernel
+
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 MAX_PIXELS = 1 << 26
 CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
@@ -224,6 +227,7 @@ def _decode(column: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 
 def decode(images: DataFrame, column: str = "png") -> DataFrame:
     """``images`` with width, height, channels, depth, status and phash instead of the binary column."""
+    images = kernel.without(images, "width", "height", "channels", "depth", "status", "phash")
     kept = [f for f in images.schema if f.name != column]
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept], "width int, height int, channels int, depth int, status string, phash binary"])
     return images.mapInArrow(lambda batches: _decode(column, batches), schema)

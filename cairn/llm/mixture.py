@@ -10,7 +10,8 @@ about BLOCK_TOKENS tokens in a permuted order of its own, and documents are take
 quota isn't exceeded. Only (source, block) totals are sorted as a whole; documents only within a block.
 
 Defined results: rows of null doc_id are left out; a null source is the source ''; texts without a token
-are left out; rows that repeat a doc_id are taken as so many documents; an empty table gives no rows.
+are left out; rows that repeat a doc_id are taken as so many documents; an empty table gives no rows;
+columns but doc_id, source and text play no part.
 """
 
 from __future__ import annotations

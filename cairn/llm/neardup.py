@@ -13,7 +13,8 @@
 
 Defined results: null doc_ids and texts without a word are never duplicates; a text of one or two words
 equals only texts of the same words; rows that repeat a doc_id are one document (the stage keeps one
-row of it, if they are equal in all columns); extra columns pass through.
+row of it, if they are equal in all columns); of equal distances the lesser node comes first; an empty
+table gives no groups; extra columns of any name pass through.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ the ``quantile`` of the held-out trusted documents' perplexities times ``slack``
 
 Defined results: a null or empty text is rejected; a document of a language without trusted text
 (or of null language, unless labelled) is kept with null perplexity; doc_id may be null or repeated, each row is judged
-by itself; without labels everything that has a text is kept.
+by itself; without labels everything that has a text is kept; an empty table gives an empty one; columns
+named ``perplexity``, ``threshold`` or ``_lang`` give way to the results (the pipeline's stage keeps them).
 """
 
 from __future__ import annotations
@@ -268,6 +269,7 @@ def thresholds(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, s
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK, drop: tuple[str, ...] = (), limit: int = BROADCAST_BYTES) -> DataFrame:
     """The accepted rows of ``docs`` with ``perplexity`` and ``threshold``."""
     kernel.frugal(docs.sparkSession)
+    docs = kernel.without(docs, "perplexity", "threshold", "_lang", "_block")
     m, limits = thresholds(docs, labels, quantile, slack)
     some = docs.filter(F.octet_length("text") > 0)
     out = score(some, m, limit, drop).withColumn("_lang", F.coalesce("lang", F.lit("")))
@@ -277,7 +279,8 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, sla
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return classify(docs, labels).select(docs.columns)
+    d, back = kernel.aside(docs, "perplexity", "threshold", "_lang", "_block")
+    return back(classify(d, labels))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

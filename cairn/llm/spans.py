@@ -3,7 +3,8 @@
 A text is cut into pieces after each run of ``. ! ?`` and line ends (the pieces joined are the text).
 A piece with words is a sentence; sentences are equal if their lower-cased words are. Every sentence
 starts a span: the shortest run of 2 to 4 sentences with MIN_WORDS words (at the limit of 4 whatever
-it has). Spans are hashed and joined globally; every occurrence but the first, by (doc_id, position),
+it has); a sentence of LONE_WORDS words is a span of its own, as a passage of a few long sentences that
+lies between other text holds no run of whole ones. Spans are hashed and joined globally; every occurrence but the first, by (doc_id, position),
 marks the pieces it covers, and marked pieces are removed.
 
 A partition sends only its first occurrence of a span to the span's reducer: any other occurrence in it
@@ -11,7 +12,8 @@ is known not to be the first. So a boilerplate run in a billion documents costs
 
 Defined results: rows of null doc_id or text pass unchanged; rows that repeat a doc_id count as one
 document and keep or lose the same pieces; a text that loses all is empty (the pipeline drops it); a
-span never crosses two texts; other columns are kept.
+span never crosses two texts; other columns are kept, but those named ``cuts``, ``_id`` or ``_removed``
+(the pipeline's stage keeps these too); an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from cairn.llm import kernel
 from cairn.session import BROADCAST_BYTES, cut
 
 MIN_WORDS = 12
+LONE_WORDS = 25
 MOST = 4
 FLUSH = 4 << 20
 _END = np.zeros(256, bool)
@@ -74,10 +77,10 @@ def spans(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     np.cumsum(w.hash * power[: len(w.hash)], out=total[1:])
     h = kernel.mix((total[at + size] - total[at]) * inverse[at])
     n = len(at)
-    length = np.zeros(n, np.int64)
+    length = (size >= LONE_WORDS).astype(np.int64)
     words = size.copy()
     value = h.copy()
-    best = np.zeros(n, np.uint64)
+    best = h + np.uint64(1)
     for m in range(2, MOST + 1):
         k = n - m + 1
         if k <= 0:
@@ -167,6 +170,7 @@ def dedup(docs: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """``docs`` with cleaned ``text`` and ``_removed``, the number of pieces that went. The removals are
     joined by a broadcast up to ``limit`` bytes, otherwise by a shuffled hash join whose table they are."""
     kernel.frugal(docs.sparkSession)
+    docs = kernel.without(docs, "cuts", "_id", "_removed")
     r = cut(removals(docs))
     size = r.agg(F.coalesce(F.sum(F.size("cuts") * 8 + 24), F.lit(0))).first()[0]
     r = F.broadcast(r) if size <= limit else r.hint("shuffle_hash")
@@ -176,10 +180,11 @@ def dedup(docs: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    d = dedup(docs).filter(~((F.col("_removed") > 0) & (F.trim("text") == "")))
+    d, back = kernel.aside(docs, "cuts", "_id", "_removed")
+    d = dedup(d).filter(~((F.col("_removed") > 0) & (F.trim("text") == "")))
     if "n_chars" in docs.columns:
         d = d.withColumn("n_chars", F.when(F.col("_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return d.select(docs.columns)
+    return back(d)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,10 +207,10 @@ with pieces as (
   from sent where s <> '' window w as (partition by doc_id order by pos)
 ), span as (
   select doc_id, pos,
-    case when p1 is not null and n + len(string_split(s1, ' ')) >= 12 then p1
+    case when n >= 25 then pos when p1 is not null and n + len(string_split(s1, ' ')) >= 12 then p1
          when p2 is not null and n + len(string_split(s1, ' ')) + len(string_split(s2, ' ')) >= 12 then p2
          when p3 is not null then p3 end last,
-    case when p1 is not null and n + len(string_split(s1, ' ')) >= 12 then s || '|' || s1
+    case when n >= 25 then s when p1 is not null and n + len(string_split(s1, ' ')) >= 12 then s || '|' || s1
          when p2 is not null and n + len(string_split(s1, ' ')) + len(string_split(s2, ' ')) >= 12 then s || '|' || s1 || '|' || s2
          when p3 is not null then s || '|' || s1 || '|' || s2 || '|' || s3 end body
   from near

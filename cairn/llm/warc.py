@@ -7,7 +7,7 @@ where there is one, the SHA-1 of the block.
 
 Defined results: a faulty record is a row with ``error``; a frame that can't be decoded gives a row with
 ``error`` and ends its archive, as nothing tells where the next frame starts; an empty archive has no
-rows; null archives are skipped; a page of null html is an empty record, of null url one without a target.
+rows; null archives are skipped, repeated ones read again; columns but (archive, content) play no part; a page of null html is an empty record, of null url one without a target.
 """
 
 from __future__ import annotations

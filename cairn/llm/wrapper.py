@@ -8,7 +8,8 @@ content in any case.
 
 Defined results: a null html gives null content; a page without a host, and the only page of one, is all
 content; repeated rows are so many pages; tags that are never closed or opened are mended as browsers
-do, comments that never end run to the end of the page.
+do, comments that never end run to the end of the page; an empty table gives an empty one; columns named
+as a result (host, content, n_template, n_slots) or ``ref`` or ``constant`` give way.
 """
 
 from __future__ import annotations
@@ -256,6 +257,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(pages: DataFrame, support: float = SUPPORT) -> DataFrame:
     """``pages`` (url, html and a page_id) with host, content, n_template and n_slots instead of html."""
     kernel.frugal(pages.sparkSession)
+    pages = kernel.without(pages, "host", "content", "n_template", "n_slots", "ref", "constant")
     pages = pages.withColumn("host", F.nullif(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit("")))
     whole = pages.filter("html is not null")
     lead = whole.filter("host is not null").groupBy("host").agg(F.min(F.struct(F.xxhash64("page_id"), "page_id")).alias("m"), F.count(F.lit(1)).alias("pages"))
