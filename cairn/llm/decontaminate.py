@@ -150,7 +150,7 @@ class Seeds:
             of = np.repeat(self.first[p], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             at = np.repeat(at, n)
             out.append((w.doc[at] if len(at) else at, at, self.item[of], self.pos[of]))
-        return tuple(np.concatenate([x[k] for x in out]) for k in range(4))
+        return tuple(np.concatenate([np.zeros(0, np.int64), *[x[k] for x in out]]) for k in range(4))
 
 
 def _scan(seeds: Seeds, score: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

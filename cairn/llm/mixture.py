@@ -131,7 +131,16 @@ with recursive sized as (
 ), high as (
   select case when (select -sum(x / z * ln(x / z)) from (select x, sum(x) over () z from (select n / total x from totals, whole))) >= {ENTROPY}e0 * ln((select sources from whole)) then 1e0
     else (select low from even order by round desc limit 1) end a
-), w as (select source, n, x / sum(x) over () w from (select source, n, pow(n / total, a) x from totals, whole, high)
+), fit(round, low, top) as (
+  select 0, a, 1e0 from high
+  union all
+  select round + 1, case when f then low else (low + top) / 2 end, case when f then (low + top) / 2 else top end
+  from (select round, low, top,
+      (select bool_and(x / z * budget <= {REPEATS}e0 * n) from (select n, budget, x, sum(x) over () z from (select n, budget, pow(n / total, (low + top) / 2) x from totals, whole))) f
+    from fit where round < 60)
+), alpha as (select case when (select bool_and(x / z * budget <= {REPEATS}e0 * n) from (select n, budget, x, sum(x) over () z from (select n, budget, pow(n / total, a) x from totals, whole, high))) then a
+    else (select top from fit order by round desc limit 1) end a from high
+), w as (select source, n, x / sum(x) over () w from (select source, n, pow(n / total, a) x from totals, whole, alpha)
 ), quota as (select source, n, greatest(1, n // {BLOCK_TOKENS}) blocks, cast(floor(w * budget + 0.5e0) as bigint) q from w, whole
 ), plan as (select source, blocks, p as pass, least(n, q - (p - 1) * n) quota from (select *, unnest(range(1, cast(ceil(q / n) as bigint) + 1)) p from quota)
 ), placed as (select s.doc_id, s.source, s.tokens, p.pass, p.quota, s.slot % p.blocks block from sized s join plan p on s.source = p.source

@@ -234,7 +234,7 @@ def _score_sharded(docs: DataFrame, m: DataFrame, drop: tuple[str, ...]) -> Data
     blocks = int(size // BLOCK_BYTES) + 1
     d = docs.withColumn("_block", F.pmod(F.xxhash64("text"), F.lit(blocks))).repartition("_block")
 
-    def needed(key, t: pa.Table) -> pa.Table:
+    def needed(key, t):
         out = []
         for b in t.to_batches():
             for lang, rows in _by_lang(b):

@@ -178,7 +178,7 @@ def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
         for b in batches:
             for path in b.column("path").to_pylist():
                 system, at = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
-                with system.open_input_stream(at) as stream:
+                with system.open_input_stream(at, compression=None) as stream:
                     yield from _batches(path, stream)
 
     listed = spark.createDataFrame([(p,) for p in paths], "path string")
