@@ -7,9 +7,12 @@
    Jaccard J miss each other with probability (1-J)**BANDS. (Broadcasting every query to every shard
    would cost nodes times shards; this way the work of a node doesn't grow with the data.)
 4. In a shard, a navigable small-world graph over Hamming distance finds each query's neighbours within
-   RADIUS by beams that expand while they are full; recall is audited against exact search. Pairs that
-   join two components and whose sketches agree become edges.
-5. Edges are verified by the exact Jaccard of the 3-gram sets and unioned. The least doc_id of a group stays.
+   RADIUS by beams that expand while they are full; recall is audited against exact search. All pairs whose
+   sketches agree are candidates, but those that near certain ones (sketch Jaccard SURE) connect.
+5. Candidates are verified by the exact Jaccard of the 3-gram sets, the likeliest first, and only true
+   ones unioned; a candidate is passed over only if true edges connect its ends, or the near certain
+   ones, which are verified too (if one fails, the search is repeated without them).
+   The least doc_id of a group stays.
 
 Defined results: null doc_ids and texts without a word are never duplicates; a text of one or two words
 equals only texts of the same words; rows that repeat a doc_id are one document (the stage keeps one
@@ -24,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.llm import graph, kernel
@@ -36,6 +39,8 @@ JACCARD = 0.5
 BANDS = 5
 SKETCH = 64
 SHARD = 200_000
+SURE = 0.9
+PORTION, LAST = 2, 128
 SHINGLE = 3
 _C2 = np.uint64(0xA24BAED4963EE407)
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
@@ -145,7 +150,8 @@ class _Union:
         return True
 
 
-def _shard_edges(t: pa.Table) -> pa.Table:
+def _shard_pairs(batches: Iterator[pa.RecordBatch], sure: float) -> Iterator[pa.RecordBatch]:
+    t = pa.Table.from_batches(list(batches))
     ids = t.column("doc_id").to_numpy()
     _, at = np.unique(ids, return_index=True)  # a node whose minima select one shard twice is there once
     order = at[np.argsort(kernel.mix(ids[at].astype(np.uint64)), kind="stable")]
@@ -153,11 +159,13 @@ def _shard_edges(t: pa.Table) -> pa.Table:
     codes = np.stack([t.column("s1").to_numpy()[order], t.column("s2").to_numpy()[order]], 1).view(np.uint64)
     n = t.column("n").to_numpy()[order]
     sketch = np.frombuffer(b"".join(t.column("sketch").take(pa.array(order)).to_pylist()), np.uint32).reshape(len(order), SKETCH)
-    u = _Union(len(ids))
-    a, b = [], []
+    del t
+    u = _Union(len(ids))  # of pairs that are sure
     for i, j in graph.neighbours(codes, RADIUS):
         fits = np.minimum(n[i], n[j]) >= JACCARD * np.maximum(n[i], n[j])
         i, j = i[fits], j[fits]
+        once = np.sort(np.unique(np.minimum(i, j) * len(ids) + np.maximum(i, j), return_index=True)[1])
+        i, j = i[once], j[once]
         first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else np.zeros(0, int)
         rank = np.arange(len(i)) - np.repeat(first, np.diff(np.r_[first, len(i)]))
         order_ = np.argsort(rank, kind="stable")
@@ -169,19 +177,25 @@ def _shard_edges(t: pa.Table) -> pa.Table:
             x, y = x[apart], y[apart]
             for p in range(0, len(x), 1 << 15):
                 px, py = x[p : p + (1 << 15)], y[p : p + (1 << 15)]
-                ok = sketch_jaccard(sketch[px], sketch[py]) >= JACCARD - 0.05
-                for v, w in zip(px[ok].tolist(), py[ok].tolist()):
-                    if u.join(v, w):
-                        a.append(v)
-                        b.append(w)
-    x, y = ids[np.array(a, np.int64)], ids[np.array(b, np.int64)]
-    return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
-
-
-def candidate_edges(nodes: DataFrame, count: int) -> DataFrame:
+                like = sketch_jaccard(sketch[px], sketch[py])
+                keep = like >= JACCARD - 0.05
+                for k in np.flatnonzero(like >= sure).tolist():
+                    keep[k] = u.join(int(px[k]), int(py[k]))
+                v, w = ids[px[keep]], ids[py[keep]]
+                if len(v):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(v, w)), pa.array(np.maximum(v, w)), pa.array(like[keep], pa.float64())], ["a", "b", "like"])
+
+
+def candidate_pairs(nodes: DataFrame, count: int, sure: float = SURE) -> DataFrame:
+    """(a, b, like) of every pair found whose sketches agree, but for those that pairs with a sketch
+    Jaccard of at least ``sure`` connect already."""
     shards = max(12, -(-count * BANDS // SHARD))
     member = nodes.select("doc_id", "s1", "s2", "n", "sketch", F.explode(F.array_distinct(F.transform("minima", lambda x: F.pmod(F.xxhash64(x), F.lit(shards))))).alias("shard"))
-    return member.groupBy("shard").applyInArrow(_shard_edges, "a long, b long").distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _shard_pairs(batches, sure)
+
+    return member.groupBy("shard").applyInArrow(run, "a long, b long, like double").distinct()
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,6 +218,39 @@ def verify(edges: DataFrame, docs: DataFrame) -> DataFrame:
     return j.filter(F.col("jaccard") >= JACCARD)
 
 
+def _settled(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """True edges that connect all that the true ones of ``pairs`` connect. The likeliest pairs of each
+    node are verified first; those left inside a component of true edges need no check, the others are
+    verified in growing portions, the last round all of them."""
+    left, true, portion = cut(pairs), None, PORTION
+    while True:
+        rank = [F.row_number().over(Window.partitionBy(c).orderBy(F.desc("like"), "a", "b")) for c in ("a", "b")]
+        first = F.lit(True) if portion > LAST else (F.least(*rank) <= portion) | (F.col("like") >= SURE)
+        left = cut(left.withColumn("now", first))
+        good = verify(left.filter("now").select("a", "b"), docs).select("a", "b")
+        true = cut(good if true is None else true.union(good))
+        left = left.filter("not now").drop("now")
+        if left.isEmpty():
+            return true
+        root = cut(components(true))
+        for c in ("a", "b"):
+            left = left.join(root.select(F.col("id").alias(c), F.col("root").alias(f"root_{c}")), c, "left")
+        left = cut(left.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b", "like"))
+        if left.isEmpty():
+            return true
+        portion *= 8
+
+
+def near_edges(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Verified edges that connect what the pairs found connect."""
+    count = nodes.count()
+    pairs = cut(candidate_pairs(nodes, count))
+    true = _settled(pairs, docs)
+    if not pairs.filter(F.col("like") >= SURE).join(true, ["a", "b"], "left_anti").isEmpty():
+        true = _settled(candidate_pairs(nodes, count, 2.0), docs)  # a sure pair was none: without the short cut
+    return true
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """(doc_id, keep) for every document that has a duplicate or is one; ``keep`` is its group's least doc_id."""
     kernel.frugal(docs.sparkSession)
@@ -212,8 +259,8 @@ def groups(docs: DataFrame) -> DataFrame:
     lead = keys.groupBy("c1", "c2").agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("last"))
     copies = keys.join(lead.filter("node < last"), ["c1", "c2"]).filter("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b")).distinct()
     nodes = cut(prints.join(lead.select(F.col("node").alias("doc_id"), "c1", "c2"), ["doc_id", "c1", "c2"], "left_semi"))
-    near = verify(candidate_edges(nodes, nodes.count()), docs)
-    return components(copies.union(near.select("a", "b"))).select(F.col("id").alias("doc_id"), F.col("root").alias("keep"))
+    near = near_edges(nodes, docs)
+    return components(copies.union(near)).select(F.col("id").alias("doc_id"), F.col("root").alias("keep"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

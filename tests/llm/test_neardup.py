@@ -70,3 +70,21 @@ def test_graph_recall_and_ties():
     i, j = graph.exact(codes, np.arange(n), 24)
     truth = i * n + j
     assert np.isin(truth, found).mean() >= 0.9 and np.isin(found, truth).all()
+
+
+def edited(r, base, changes):
+    t = list(base)
+    for k in r.sample(range(len(t)), changes):
+        t[k] = f"x{r.randrange(10**9)}"
+    return " ".join(t)
+
+
+def test_copies_of_a_base_that_are_far_from_each_other(spark):
+    r = random.Random(7)
+    base = [f"w{r.randrange(10**6)}" for _ in range(120)]
+    docs = [(0, " ".join(base))] + [(k, edited(r, base, 8)) for k in range(1, 1001)]
+    sets = [brute.shingles(t) for _, t in docs]
+    to_base = [len(s & sets[0]) / len(s | sets[0]) for s in sets[1:]]
+    assert min(to_base) >= 0.6
+    got = keeps(spark, docs)
+    assert sum(got.get(k) == 0 for k in range(1, 1001)) >= 980
