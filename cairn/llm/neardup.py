@@ -34,10 +34,12 @@ from cairn.llm import graph, kernel
 from cairn.operators.graph import components
 from cairn.session import BROADCAST_BYTES, cut
 
-RADIUS = 24
+RADIUS = 32
 JACCARD = 0.5
 BANDS = 5
 SKETCH = 64
+#: Three standard deviations of a sketch estimate at JACCARD; the exact check follows.
+MARGIN = 3 * (JACCARD * (1 - JACCARD) / SKETCH) ** 0.5
 SHARD = 200_000
 SURE = 0.9
 PORTION, LAST = 2, 128
@@ -178,7 +180,7 @@ def _shard_pairs(batches: Iterator[pa.RecordBatch], sure: float) -> Iterator[pa.
             for p in range(0, len(x), 1 << 15):
                 px, py = x[p : p + (1 << 15)], y[p : p + (1 << 15)]
                 like = sketch_jaccard(sketch[px], sketch[py])
-                keep = like >= JACCARD - 0.05
+                keep = like >= JACCARD - MARGIN
                 for k in np.flatnonzero(like >= sure).tolist():
                     keep[k] = u.join(int(px[k]), int(py[k]))
                 v, w = ids[px[keep]], ids[py[keep]]

@@ -88,3 +88,18 @@ def test_copies_of_a_base_that_are_far_from_each_other(spark):
     assert min(to_base) >= 0.6
     got = keeps(spark, docs)
     assert sum(got.get(k) == 0 for k in range(1, 1001)) >= 980
+
+
+def test_pairs_near_the_limit(spark):
+    r = random.Random(11)
+    docs = []
+    while len(docs) < 800:
+        base = [f"w{r.randrange(10**6)}" for _ in range(r.randrange(60, 150))]
+        copy = edited(r, base, len(base) // 9)
+        a, b = brute.shingles(" ".join(base)), brute.shingles(copy)
+        if 0.5 <= len(a & b) / len(a | b) < 0.55:
+            docs += [(len(docs), " ".join(base)), (len(docs) + 1, copy)]
+    got = keeps(spark, docs)
+    found = sum(got.get(k + 1) == k for k in range(0, 800, 2)) / 400
+    print("found", found)
+    assert found >= 0.94
