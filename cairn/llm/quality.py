@@ -5,7 +5,8 @@ held-out fifth, one model per language. Counts, continuation counts, context tot
 interpolated probabilities are joins and aggregations of tables sharded by (language, code). A code
 packs the bytes of an n-gram into a long, so a suffix is a mask, a context is a shift, and there are
 no collisions. A document is rejected if its perplexity per byte exceeds its language's threshold,
-the ``quantile`` of the held-out trusted documents' perplexities times ``slack``.
+the ``quantile`` of the held-out trusted documents' perplexities; too few of them to have one above
+it (under 100 for 0.99) give their greatest times ``slack``.
 
 Defined results: a null or empty text is rejected; a document of a language without trusted text
 (or of null language, unless labelled) is kept with null perplexity; doc_id may be null or repeated, each row is judged
@@ -262,7 +263,8 @@ def thresholds(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, s
     good = trusted(docs, labels)
     m = cut(model(good.filter(~F.col("held"))))
     held = score(good.filter("held").select("lang", "text"), m, drop=("text",)).filter("perplexity is not null")
-    limits = held.groupBy(F.coalesce("lang", F.lit("")).alias("_lang")).agg((F.percentile_approx("perplexity", quantile, 100000) * slack).alias("threshold"))
+    few = F.when(F.count(F.lit(1)) * (1 - quantile) < 1, slack).otherwise(1.0)
+    limits = held.groupBy(F.coalesce("lang", F.lit("")).alias("_lang")).agg((F.percentile_approx("perplexity", quantile, 100000) * few).alias("threshold"))
     return m, cut(limits)
 
 

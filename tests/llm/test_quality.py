@@ -1,3 +1,4 @@
+import math
 import random
 
 import brute
@@ -65,3 +66,13 @@ def test_edge_rows(spark, fixture):
     none = labels.limit(0)
     assert quality.classify(docs, none).count() == docs.count()
     assert quality.classify(docs.limit(0), labels).count() == 0
+
+
+def test_threshold_is_the_quantile(spark):
+    rows, labels = made(4200)
+    docs, labels = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    m, limits = quality.thresholds(docs, labels)
+    held = quality.score(quality.trusted(docs, labels).filter("held").select("lang", "text"), m).collect()
+    for r in limits.collect():
+        p = sorted(h["perplexity"] for h in held if h["lang"] == r["_lang"])
+        assert len(p) >= 100 and r["threshold"] == pytest.approx(p[math.ceil(0.99 * len(p)) - 1], rel=1e-9)
