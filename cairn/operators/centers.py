@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from cairn.functions import fields
 from cairn.functions.geo import haversine_km
 from cairn.functions.text import fold_lower, present
+from cairn.operators import skew
 from cairn.operators.graph import components
+from cairn.session import cut
 
 JACCARD = 0.8
 #: words that don't tell one center from another
@@ -51,22 +53,66 @@ def merge_by_id(old: DataFrame, new: DataFrame, by: str) -> DataFrame:
     return both.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r", "_new")
 
 
+def alike_names(groups: DataFrame) -> DataFrame:
+    """(a, b): groups (id, place, words) of one place whose words have a Jaccard of JACCARD and share a distinctive one.
+
+    Such names share all but a fifth of their words, so one of the rarest few of one is among the rarest few of
+    the other (prefix filter)."""
+    df = groups.select(F.explode("words").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    ranked = groups.select("id", F.explode("words").alias("token")).join(df, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("r"))
+    n = F.size("words")
+    first = F.slice(F.transform("r", lambda x: x["token"]), 1, (n - F.ceil(n * F.lit(JACCARD) - 1e-9) + 1).cast("int"))
+    g = cut(groups.join(ranked, "id").select("id", "place", "words", first.alias("rare")))
+    w = g.withColumn("w", F.explode("rare"))
+    side = lambda s: w.select(F.struct("place", "w").alias("key"), F.struct("id", "words", "rare").alias(s))
+    both = F.array_intersect("a.words", "b.words")
+    union = F.size("a.words") + F.size("b.words") - F.size(both)
+    alike = (F.size(both) / union >= JACCARD) & F.exists(both, lambda x: ~x.isin(*GENERIC))
+    near = F.least(F.size("a.words"), F.size("b.words")) >= F.greatest(F.size("a.words"), F.size("b.words")) * JACCARD - 1e-9
+    once = F.get(F.array_intersect("a.rare", "b.rare"), F.lit(0)) == F.col("key.w")
+    p = skew.pairs(side("a"), side("b"), "key").filter((F.col("a.id") < F.col("b.id")) & near & once).filter(alike)
+    return p.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+
+
 def reconcile(centers: DataFrame) -> DataFrame:
     """(center_id, canonical_id, merged_sources): centers of different sources in one municipality whose names
     agree by JACCARD and share a distinctive word are one; the survivor has an address, then a phone,
-    then the least id. A survivor's own canonical_id is null."""
-    words = F.filter(F.array_distinct(F.split(fold_lower("name"), " ")), lambda t: F.length(t) > 2)
-    c = centers.select("center_id", "source", fold_lower("municipality").alias("place"), words.alias("words"), "address", "phone").filter("place <> ''")
-    side = lambda s: c.select("place", F.struct("center_id", "source", "words").alias(s))
-    both = F.array_intersect("a.words", "b.words")
-    alike = (F.size(both) / F.size(F.array_union("a.words", "b.words")) >= JACCARD) & F.exists(both, lambda w: ~w.isin(*GENERIC))
-    links = side("a").join(side("b"), "place").filter((F.col("a.center_id") < F.col("b.center_id")) & (F.col("a.source") != F.col("b.source"))).filter(alike)
-    root = components(links.select(F.col("a.center_id").alias("a"), F.col("b.center_id").alias("b"))).withColumnRenamed("id", "center_id")
-    best = Window.partitionBy("root").orderBy(present("address").isNull(), present("phone").isNull(), "center_id")
+    then the least id. A survivor's own canonical_id is null.
+
+    Centers of one place, name and source have the same links, so distinct ones are compared."""
+    words = F.array_sort(F.filter(F.array_distinct(F.split(fold_lower("name"), " ")), lambda t: F.length(t) > 2))
+    c = centers.select("center_id", F.coalesce("source", F.lit("")).alias("source"), fold_lower("municipality").alias("place"), words.alias("words"))
+    c = c.filter(F.col("place") != "").filter(F.size("words") > 0)
+    node = c.groupBy("place", "words", "source").agg(F.min("center_id").alias("node"))
+    node = cut(node.withColumn("id", F.min("node").over(Window.partitionBy("place", "words"))))
+    names = node.filter("node = id").select("id", "place", "words")
+    own = names.filter(F.exists("words", lambda x: ~x.isin(*GENERIC))).select(F.col("id").alias("a"), F.col("id").alias("b"))
+    of = lambda s: node.select(F.col("id").alias(s), F.struct("node", "source").alias(f"{s}_"))
+    links = alike_names(names).union(own).join(of("a"), "a").join(of("b"), "b").filter("a_.source <> b_.source").select(F.col("a_.node").alias("a"), F.col("b_.node").alias("b"))
+    root = components(links).withColumnRenamed("id", "node")
+    root = c.join(node.select("place", "words", "source", "node"), ["place", "words", "source"]).join(root, "node").select("center_id", "root")
     g = centers.select("center_id", "source", "address", "phone").join(root, "center_id")
-    g = g.withColumn("survivor", F.first("center_id").over(best))
-    sources = g.groupBy("root").agg(F.array_join(F.array_sort(F.collect_set("source")), ",").alias("merged_sources"))
-    return g.join(sources, "root").select("center_id", F.nullif("survivor", "center_id").alias("canonical_id"), "merged_sources")
+    pick = F.struct(present("address").isNull().alias("a"), present("phone").isNull().alias("p"), "center_id")
+    best = g.groupBy("root").agg(F.min(pick)["center_id"].alias("survivor"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("merged_sources"))
+    return g.join(best, "root").select("center_id", F.nullif("survivor", "center_id").alias("canonical_id"), "merged_sources")
+
+
+def merged(centers: DataFrame) -> DataFrame:
+    """Centers after reconciliation: the survivors unite the tags (needs_tags) of their cluster and fill a blank address,
+    phone or hours from its other members, the least center_id first; members point to their survivor."""
+    found = cut(reconcile(centers))
+    c = centers.drop("canonical_id", "merged_sources").join(found, "center_id", "left")
+    fill = [x for x in ("address", "phone", "hours") if x in centers.columns]
+    first = lambda x: F.min_by(x, F.when(present(x).isNotNull(), F.struct(F.col("canonical_id").isNotNull(), "center_id")))
+    of = F.coalesce("canonical_id", "center_id")
+    tags = [F.array_sort(F.array_distinct(F.flatten(F.collect_list("needs_tags")))).alias("_tags")] if "needs_tags" in centers.columns else []
+    g = c.groupBy(of.alias("center_id")).agg(*[first(x).alias(f"_{x}") for x in fill], *tags)
+    out = c.join(g, "center_id", "left")
+    lead = F.col("merged_sources").isNotNull() & F.col("canonical_id").isNull()
+    for x in [*fill, *(["needs_tags"] if tags else [])]:
+        other = F.col("_tags") if x == "needs_tags" else F.coalesce(F.col(f"_{x}"), F.col(x))
+        out = out.withColumn(x, F.when(lead, other).otherwise(F.col(x)))
+    return out.select(*[x for x in centers.columns if x not in ("canonical_id", "merged_sources")], "canonical_id", F.when(lead, F.col("merged_sources")).alias("merged_sources"))
 
 
 def confirm(centers: DataFrame, center_id: Column, now: Column) -> DataFrame:

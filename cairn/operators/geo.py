@@ -6,36 +6,55 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.fields import is_vague
-from cairn.functions.geo import cell, haversine_km
+from cairn.functions.geo import cell, haversine_km, inside
 from cairn.functions.text import fold_lower, fold_upper
-from cairn.session import BROADCAST_BYTES
+from cairn.operators import skew
+from cairn.session import BROADCAST_BYTES, cut
 
 BROAD = ("caracas", "guaira", "la guaira", "la guira", "vargas")
 SNAP_KM, SNAP_DEGREES = 2.0, 0.03
 
 
-def zones_found(places: DataFrame, zones: DataFrame, broad: tuple[str, ...] = BROAD) -> DataFrame:
+def zones_found(places: DataFrame, zones: DataFrame, broad: tuple[str, ...] = BROAD, limit: int = BROADCAST_BYTES) -> DataFrame:
     """(id, zone, lat, lng): for each (id, pos, origin) the most specific zone (zone, lat, lng) named in its first
     matching origin: sectors before broad names, then the longest, then by name.
 
-    A gazetteer is a dimension of thousands of rows; it is broadcast once its size is known to be
-    small. A larger one meets the origins on their words instead."""
+    A zone is named where its folded text is a part of the folded origin. A gazetteer is a dimension of
+    thousands of rows; it is broadcast while its size is small, and each origin is compared with all of it. A larger
+    one meets the distinct origins on its first letters: the first 8, 4, 2 or 1 of a zone, as many as it has, are a
+    part of an origin that names it. Both ways give the same rows."""
     z = zones.select("zone", "lat", "lng", fold_lower("zone").alias("z")).filter("z <> ''")
     o = places.select("id", "pos", fold_lower("origin").alias("o"))
-    if z.count() * 64 <= BROADCAST_BYTES:
+    if z.count() * 64 <= limit:
         j = o.join(F.broadcast(z), F.contains("o", "z"))
     else:
-        first = lambda c: F.regexp_extract(c, r"([\p{L}\p{N}_]+)", 1)
-        w = o.select("*", F.explode(F.array_distinct(F.regexp_extract_all("o", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))).alias("w"))
-        j = w.join(z.withColumn("w", first("z")), "w").filter(F.contains("o", "z"))
+        size = F.when(F.length("z") >= 8, 8).when(F.length("z") >= 4, 4).when(F.length("z") >= 2, 2).otherwise(1)
+        parts = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("o") - n + 1)), lambda i: F.substr("o", i, F.lit(n)))
+        keys = F.array_distinct(F.concat(*[parts(n) for n in (8, 4, 2, 1)]))
+        texts = o.select("o").distinct()
+        named = skew.pairs(texts.select("o", F.explode(keys).alias("key")), z.withColumn("key", F.substr("z", F.lit(1), size)), "key").filter(F.contains("o", "z")).drop("key")
+        j = o.join(named, "o")
     best = Window.partitionBy("id").orderBy("pos", F.col("z").isin(*broad), F.length("z").desc(), "zone")
     return j.withColumn("r", F.row_number().over(best)).filter("r = 1").select("id", "zone", "lat", "lng")
 
 
-def order_origins(origins: str, zones: DataFrame | None = None) -> F.Column:
-    """The known origins before the vague ones, each in its order."""
-    ranked = F.transform(origins, lambda x, i: F.struct(F.when(is_vague(x), 2).otherwise(1).alias("rank"), i.alias("i"), x.alias("x")))
-    return F.transform(F.array_sort(ranked), lambda s: s["x"])
+def order_origins(origins: str, known: F.Column | None = None) -> F.Column:
+    """The origins that a zone is known for first (``known``: an array of them), then others, then the vague
+    ones, each in its order."""
+    zoned = (lambda x: F.array_contains(known, x)) if known is not None else (lambda x: F.lit(False))
+    ranked = F.transform(origins, lambda x, i: F.struct(F.when(is_vague(x), 2).when(zoned(x), 0).otherwise(1).alias("rank"), i.alias("i"), x.alias("x")))
+    return F.array_sort(ranked).getField("x")
+
+
+def ordered(persons: DataFrame, zones: DataFrame) -> DataFrame:
+    """persons (id, origins, ...) with their origins in the order of ``order_origins``: each distinct origin is
+    looked up in the gazetteer once."""
+    o = persons.select("id", F.posexplode("origins").alias("pos", "origin"))
+    texts = o.select("origin").distinct()
+    zoned = zones_found(texts.select(F.col("origin").alias("id"), F.lit(0).alias("pos"), "origin"), zones).select(F.col("id").alias("origin"))
+    known = o.join(zoned, "origin", "left_semi").groupBy("id").agg(F.collect_set("origin").alias("_known"))
+    out = persons.join(known, "id", "left")
+    return out.withColumn("origins", order_origins("origins", F.coalesce("_known", F.array().cast("array<string>")))).drop("_known")
 
 
 def nearest(points: DataFrame, sites: DataFrame, km: float = SNAP_KM, degrees: float = SNAP_DEGREES) -> DataFrame:
@@ -58,15 +77,50 @@ def footprint_centroids(texts: DataFrame, column: str = "json") -> DataFrame:
     return v.groupBy("feature").agg(F.avg("lat").alias("lat"), F.avg("lng").alias("lng"))
 
 
+#: words by which an origin names a building
+BUILDING = r"\b(bloque|conjunto|edf|edif|quinta|resid|residencia|residencial|torre)\b"
+NEAR_KM = 4.0
+CORE = (10.58, 10.63, -67.10, -66.66)
+NO_BUILDING: str = "q string, lat double, lng double, label string"
+
+
+def geocode(origins: DataFrame, zones: DataFrame, sites: DataFrame, hits: DataFrame | None = None, cache: DataFrame | None = None) -> DataFrame:
+    """(q, lat, lng, tier, label) of each distinct ``origin``, q its folded first 160 letters; null where nothing is known.
+
+    Tiers: a row of ``cache`` (q, lat, lng, tier, label) as it is; 'building', where the origin names one and a geocoder's
+    hit (``hits``: q, lat, lng, label) shares a distinctive word with it and lies within NEAR_KM of the sector
+    that it names, or, if it names none, in the CORE strip; else 'sector', its zone moved to the nearest site."""
+    q = F.substring(fold_lower("origin"), 1, 160)
+    o = origins.select(q.alias("q"), "origin").filter("q <> ''").groupBy("q").agg(F.min("origin").alias("origin"))
+    known = o.join(cache.select("q"), "q", "left_semi") if cache is not None else None
+    new = o.join(cache.select("q"), "q", "left_anti") if cache is not None else o
+    z = zones_found(new.select(F.col("q").alias("id"), F.lit(0).alias("pos"), "origin"), zones).withColumnRenamed("id", "q")
+    new = new.join(z.select("q", F.col("zone").alias("z_zone"), F.col("lat").alias("z_lat"), F.col("lng").alias("z_lng")), "q", "left")
+    if hits is None:
+        hits = origins.sparkSession.createDataFrame([], NO_BUILDING)
+    new = new.join(hits.select("q", F.col("lat").alias("h_lat"), F.col("lng").alias("h_lng"), F.col("label").alias("h_label")), "q", "left")
+    close = F.when(F.col("z_lat").isNotNull(), haversine_km("h_lat", "h_lng", "z_lat", "z_lng") <= NEAR_KM).otherwise(inside("h_lat", "h_lng", CORE))
+    named = F.col("q").rlike(BUILDING) & F.arrays_overlap(distinctive_words("origin"), distinctive_words("h_label")) & close
+    new = new.withColumn("built", F.coalesce(named, F.lit(False)))
+    near = nearest(new.filter("not built and z_lat is not null").select(F.col("q").alias("id"), F.col("z_lat").alias("lat"), F.col("z_lng").alias("lng")), sites).join(sites.select("site_id", F.col("lat").alias("s_lat"), F.col("lng").alias("s_lng")), "site_id")
+    new = new.join(near.select(F.col("id").alias("q"), "s_lat", "s_lng"), "q", "left")
+    pick = lambda h, s, z: F.when(F.col("built"), F.col(h)).otherwise(F.coalesce(s, z))
+    tier = F.when(F.col("built"), "building").when(F.col("z_lat").isNotNull(), "sector")
+    out = new.select("q", pick("h_lat", "s_lat", "z_lat").alias("lat"), pick("h_lng", "s_lng", "z_lng").alias("lng"), tier.alias("tier"), F.when(F.col("built"), F.col("h_label")).otherwise(F.col("z_zone")).alias("label"))
+    return out if known is None else out.union(known.select("q").join(cache.select("q", "lat", "lng", "tier", "label"), "q"))
+
+
 def attach(persons: DataFrame, zones: DataFrame, sites: DataFrame, cache: DataFrame | None = None) -> DataFrame:
-    """persons (id, origins) with lat, lng and geo_tier: the cached place of the best origin, else a
-    site near its zone ('zone')."""
-    o = persons.select("id", F.posexplode(order_origins("origins")).alias("pos", "origin"))
+    """persons (id, origins) with lat, lng and geo_tier, the best origin first: its cached place (q, lat, lng,
+    tier, as ``geocode`` gives), else a site near the zone that an origin names ('zone')."""
+    persons = cut(ordered(persons, zones))
+    o = persons.select("id", F.posexplode("origins").alias("pos", "origin"))
     z = zones_found(o, zones)
     near = nearest(z, sites).join(sites.select("site_id", F.col("lat").alias("sa"), F.col("lng").alias("sg")), "site_id")
     placed = z.join(near, "id", "left").select("id", F.coalesce("sa", "lat").alias("lat"), F.coalesce("sg", "lng").alias("lng"), F.lit("zone").alias("geo_tier"))
     if cache is not None:
-        known = o.filter("pos = 0").join(cache.select("origin", F.col("lat").alias("ca"), F.col("lng").alias("cg"), "tier"), "origin").select("id", "ca", "cg", "tier")
+        first = o.filter("pos = 0").select("id", F.substring(fold_lower("origin"), 1, 160).alias("q"))
+        known = first.join(cache.filter("lat is not null").select("q", F.col("lat").alias("ca"), F.col("lng").alias("cg"), "tier"), "q").select("id", "ca", "cg", "tier")
         placed = persons.select("id").join(placed, "id", "left").join(known, "id", "left").select("id", F.coalesce("ca", "lat").alias("lat"), F.coalesce("cg", "lng").alias("lng"), F.coalesce("tier", "geo_tier").alias("geo_tier"))
     return persons.join(placed, "id", "left")
 

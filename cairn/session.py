@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only up to this many bytes; beyond it the join shuffles.
 BROADCAST_BYTES = 64 << 20
@@ -22,6 +23,7 @@ def session(name: str = "cairn", cores: str = "*", partitions: int = 8, memory:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
@@ -45,10 +47,51 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+_made: list[str] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Eager reliable checkpoint: cuts the lineage and survives the loss of executors."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    file = out._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if file.isDefined():
+        _made.append(file.get())
+    return out
+
+
+def mark() -> int:
+    """A place in the list of checkpoints, for ``release``."""
+    return len(_made)
+
+
+def release(spark: SparkSession, since: int) -> None:
+    """Delete the checkpoints made since ``mark()``; what was computed from them must be written by now."""
+    for path in _made[since:]:
+        delete(spark, path)
+    del _made[since:]
+
+
+def _path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, p = _path(spark, path)
+    fs.delete(p, True)
+
+
+def exists(spark: SparkSession, pattern: str) -> bool:
+    """Whether a path or glob of any file system that the session knows has a match."""
+    fs, p = _path(spark, pattern)
+    found = fs.globStatus(p)
+    return found is not None and len(found) > 0
+
+
+def bounded(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if its counted rows of ``row_bytes`` fit ``limit``, else as it is."""
+    return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
 def ship(spark: SparkSession) -> None:

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable, Iterator
-from glob import glob
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from cairn.functions import fields, ids
-from cairn.functions.text import clean, name_key, present
+from cairn.functions.text import clean, fold_upper, name_key, present
+from cairn.operators import skew
+from cairn.operators.registry import STATUSES
+from cairn.session import exists
 
 RECORD = ("source", "source_type", "hospital", "surnames", "names", "full_name", "name_key", "ci", "age", "age_unit", "sex", "origin", "status", "obs", "date", "row_raw")
 CENTER = ("source", "url", "name", "ctype", "address", "municipality", "hours", "needs", "phone", "operator")
@@ -31,29 +34,36 @@ def build_record(df: DataFrame, source: str | Column, **given: Column) -> DataFr
 
 def lines_of(spark: SparkSession, path: str) -> DataFrame:
     """(file, line, value) in the order of the files. A file is read whole, as its lines depend on the ones before."""
-    if not glob(path) and "://" not in path:
+    if not exists(spark, path):
         return spark.createDataFrame([], "file string, line int, value string")
     whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("line", "value"))
     return whole
 
 
+def columns_of(line: Column | str) -> Column:
+    """The parts of a line that two or more spaces part."""
+    return F.filter(F.transform(F.split(F.trim(line), r"\s{2,}"), lambda x: F.trim(x)), lambda x: x != "")
+
+
 def read_columns(spark: SparkSession, path: str, source: str) -> DataFrame:
     """Lines of columns two or more spaces apart. The first rule that fits says what a column is: hospital,
     number, sex, age, age with unit, or text; texts are surnames, names and origin in turn."""
-    rows = lines_of(spark, path).filter(fields.looks_like_facility("value"))
-    rows = rows.withColumn("t", F.filter(F.transform(F.split(F.trim("value"), r"\s{2,}"), F.trim), lambda x: x != "")).filter(F.size("t") >= 2)
-    kind = lambda x: (
+    rows = lines_of(spark, path).filter(fields.looks_like_facility("value") & ~F.col("value").rlike(r"APELLIDOS|^\s*NUM"))
+    rows = rows.withColumn("t", columns_of("value")).filter(F.size("t") >= 2)
+    kind = lambda x, i: (
         F.when(fields.looks_like_facility(x), "hospital").when(ids.looks_like_id(x), "ci").when(x.rlike("^[MFmf]$"), "sex")
-        .when(x.rlike(r"^\d{1,3}$"), "age").when(x.rlike(r"(?iu)^\d{1,3}\s*(a[nñ]os?|mes|meses|m)$"), "aged").when(fields.find_date(x) != "", "date").otherwise("text")
+        # a bare number at the head of a line is its number in the list, not an age
+        .when(x.rlike(r"^\d{1,3}$"), F.when(i > 0, "age").otherwise("")).when(x.rlike(r"(?iu)^\d{1,3}\s*(a[nñ]os?|mes|meses|[mf])$"), "age").when(fields.find_date(x) != "", "date").when(x.rlike(r"\p{L}"), "text").otherwise("")
     )
-    rows = rows.withColumn("k", F.transform("t", lambda x: F.struct(kind(x).alias("k"), x.alias("x"))))
-    of = lambda name: F.transform(F.filter("k", lambda s: s["k"] == name), lambda s: s["x"])
-    # a bare number at the head of a line is its number in the list, not an age
-    ages = F.filter(F.transform("k", lambda s, i: F.when((i > 0) & s["k"].isin("age", "aged"), s["x"])), lambda x: x.isNotNull())
-    age = fields.age(F.get(ages, F.lit(0)))
-    text = of("text")
-    out = build_record(rows, source, source_type=F.lit("text"), hospital=F.get(of("hospital"), F.lit(0)), surnames=F.get(text, F.lit(0)), names=F.get(text, F.lit(1)), origin=F.array_join(F.slice(text, 3, 1000), " "),
-                       ci=ids.digits(F.get(of("ci"), F.lit(0))), sex=F.upper(F.get(of("sex"), F.lit(0))), age=age["value"], age_unit=age["unit"], date=fields.find_date("value"), row_raw=F.trim("value"))
+    rows = rows.withColumn("k", F.transform("t", kind))
+    # of each kind the first; another column of letters is text
+    rows = rows.withColumn("k", F.transform("k", lambda k, i: F.when((k == "text") | (F.array_position("k", k) == i + 1), k).when(F.get("t", i).rlike(r"\p{L}") & (k != "date"), "text").otherwise("")))
+    of = lambda name: F.filter("t", lambda x, i: F.get("k", i) == name)
+    first = lambda name: F.get(of(name), F.lit(0))
+    age, text = fields.age(first("age")), of("text")
+    sex = F.coalesce(first("sex"), present(F.regexp_extract(F.coalesce(first("age"), F.lit("")), "(?i)[0-9] *([MF])$", 1)))
+    out = build_record(rows, source, source_type=F.lit("text"), hospital=first("hospital"), surnames=F.get(text, F.lit(0)), names=F.get(text, F.lit(1)), origin=F.array_join(F.slice(text, 3, 1 << 20), " "),
+                       ci=ids.digits(first("ci")), sex=F.upper(sex), age=age["value"], age_unit=age["unit"], date=fields.find_date("value"), row_raw=F.trim("value"))
     return out.filter("surnames <> '' or ci <> ''")
 
 
@@ -62,30 +72,37 @@ def forward_fill(value: Column, within: str = "file", by: str = "line") -> Colum
 
 
 def read_numbered(spark: SparkSession, path: str, source: str) -> DataFrame:
-    """Numbered lines 'n  hospital  name  age'; a hospital holds until the next one is named."""
-    rows = lines_of(spark, path).withColumn("body", F.regexp_extract("value", r"^\s*\d+\s+(.*)$", 1)).filter("body <> ''")
-    t = F.filter(F.split("body", r"\s{2,}"), lambda x: F.trim(x) != "")
-    rows = rows.withColumn("t", t)
-    own = present(fields.canonical_facility(F.get(F.filter("t", fields.looks_like_facility), F.lit(0))))
-    rows = rows.withColumn("hospital", forward_fill(own)).withColumn("t", F.filter("t", lambda x: ~fields.looks_like_facility(x)))
-    name, last = F.get("t", F.lit(0)), F.element_at("t", -1)
-    trailing = F.regexp_extract(name, r"\s(\d{1,3})$", 1)
-    age = F.when((F.size("t") > 1) & last.rlike(r"^\d{1,3}"), last).otherwise(trailing)
-    rows = rows.filter(F.size("t") > 0).withColumn("who", F.regexp_replace(name, r"\s\d{1,3}$", ""))
-    a = fields.age(age)
-    return build_record(rows, source, source_type=F.lit("pdf"), hospital=F.col("hospital"), full_name=F.col("who"), age=a["value"], age_unit=a["unit"], row_raw=F.trim("value")).filter("name_key <> ''")
+    """Numbered lines 'n  hospital  name  age': a hospital that a line names by a known label holds for the lines
+    after it that don't; before any, the line's own words stand. Without a column of its own the age may end the name."""
+    rows = lines_of(spark, path).withColumn("body", F.regexp_extract(F.trim("value"), r"^\d+\s+(.*)$", 1))
+    rows = rows.withColumn("t", columns_of("body")).filter(F.size("t") > 0).withColumn("raw", F.get("t", F.lit(0)))
+    own = present(fields.canonical_facility("raw"))
+    rows = rows.withColumn("hospital", F.coalesce(own, forward_fill(own), clean("raw")))
+    n, last = F.size("t"), F.element_at("t", -1)
+    column = (n >= 3) & fold_upper(last).rlike(r"^\d{1,3}( ?(ANOS|MESES))?$")
+    words = F.array_join(F.slice("t", 2, F.greatest(F.lit(0), F.when(column, n - 2).otherwise(n - 1))), " ")
+    rows = rows.withColumn("words", words).withColumn("age", F.when(column, F.regexp_extract(last, r"^\d{1,3}", 0)).otherwise(F.regexp_extract("words", r"\s(\d{1,3})\s*$", 1)))
+    name = clean(F.when(column | (F.col("age") == ""), F.col("words")).otherwise(F.regexp_replace("words", r"\s\d{1,3}\s*$", "")))
+    rows = rows.withColumn("who", name).filter("who <> ''")
+    return build_record(rows, source, source_type=F.lit("registro"), hospital=F.col("hospital"), surnames=F.col("who"), age=F.col("age"), row_raw=F.trim("value"))
 
 
 def read_sections(spark: SparkSession, path: str, source: str, hospital: str) -> DataFrame:
-    """Lines under headings that say the status: deceased, or injured (which wins where a line says both)."""
-    rows = lines_of(spark, path)
-    head = F.when(F.col("value").rlike("(?i)herid[oa]s|lesionad[oa]s"), "herido").when(F.col("value").rlike("(?i)fallecid"), "fallecido")
-    rows = rows.withColumn("head", head).withColumn("status", forward_fill(F.col("head")))
-    rows = rows.withColumn("body", F.trim(F.regexp_replace("value", r"^\s*\d+[.)\-]?\s+", ""))).filter("head is null and body <> ''")
-    number = F.get(ids.find_ids("body"), F.lit(0))
-    a = fields.age(F.regexp_extract("body", r"(\d{1,3}\s*(?i:a[nñ]os?|mes(?:es)?))", 1))
-    name = F.trim(F.regexp_replace(ids.strip_ids("body"), r"\s*\d{1,3}\s*(?i:a[nñ]os?|mes(?:es)?)?.*$", ""))
-    return build_record(rows, source, source_type=F.lit("pdf"), hospital=F.lit(hospital), full_name=name, ci=number, age=a["value"], age_unit=a["unit"], status=F.col("status"), row_raw=F.trim("value")).filter("name_key <> ''")
+    """Numbered lines under headings that say the status: deceased, or injured, which wins where a line says
+    both and holds before any heading. A line is its name, then an age, a number, an origin and notes in any order."""
+    folded = fold_upper("value")
+    said = F.when(folded.rlike("HERIDOS|LESIONADOS"), "herido").when(F.contains(folded, F.lit("FALLECID")), "fallecido")
+    rows = lines_of(spark, path).withColumn("status", F.coalesce(forward_fill(said), F.lit("herido")))
+    rows = rows.withColumn("t", columns_of(F.regexp_extract(F.trim("value"), r"^\d+\s+(.*)$", 1))).filter(F.size("t") > 0)
+    kind = lambda x: (
+        F.when(x.rlike(r"^\d{1,3}$") | (x.rlike(r"\d") & F.contains(fold_upper(x), F.lit("ANOS"))), "age")
+        .when(ids.looks_like_id(x), "ci").when(x.rlike("[A-Za-z]"), "text").otherwise("")
+    )
+    rows = rows.withColumn("k", F.transform(F.slice("t", 2, 1 << 20), lambda x: F.struct(kind(x).alias("k"), x.alias("x"))))
+    of = lambda name: F.transform(F.filter("k", lambda s: s["k"] == name), lambda s: s["x"])
+    text = of("text")
+    return build_record(rows, source, source_type=F.lit("huc"), hospital=F.lit(hospital), surnames=F.get("t", F.lit(0)), ci=ids.digits(F.get(of("ci"), F.lit(0))), age=fields.age(F.get(of("age"), F.lit(0)))["value"],
+                        origin=F.get(text, F.lit(0)), obs=F.array_join(F.slice(text, 2, 1 << 20), " "), status=F.col("status"), row_raw=F.trim("value"))
 
 
 def union_records(*frames: DataFrame) -> DataFrame:
@@ -95,8 +112,8 @@ def union_records(*frames: DataFrame) -> DataFrame:
         out = out.unionByName(f.withColumn("_s", F.lit(k)), allowMissingColumns=True)
     for c in RECORD:
         out = out.withColumn(c, F.coalesce(c, F.lit("")))
-    order = Window.orderBy("_s", *[c for c in ("line",) if c in out.columns], "row_raw", "full_name", "ci")
-    return out.withColumn("record_id", F.format_string("R%05d", F.row_number().over(order))).drop("_s")
+    order = ["_s", *[c for c in ("line",) if c in out.columns], "row_raw", "full_name", "ci", *[c for c in RECORD if c not in ("row_raw", "full_name", "ci")]]
+    return skew.positions(out, order, "_n").withColumn("record_id", F.format_string("R%05d", "_n")).drop("_s", "_n")
 
 
 _ROW = "array<struct<raw:string,apellidos:string,nombres:string,ci:string,edad:string,sexo:string,cama:string,direccion:string,observacion:string,estado:string>>"
@@ -105,22 +122,24 @@ PHOTOS = f"images array<struct<file:string,folder:string,hospital:string,hospita
 
 def read_photos(spark: SparkSession, path: str, folder_status: dict[str, str] | None = None) -> DataFrame:
     """Photographed lists: JSON of images, each of rows. The root may be the list of images itself."""
-    if not glob(path):
+    if not exists(spark, path):
         return spark.createDataFrame([], ", ".join(f"{c} string" for c in RECORD))
     text = spark.read.text(path, wholetext=True)
     image = F.coalesce(F.from_json("value", PHOTOS)["images"], F.from_json("value", PHOTOS.removeprefix("images ")))
     r = text.select(F.explode(image).alias("i")).select("i.*").select("file", "folder", F.coalesce(present("hospital"), "hospital_header").alias("place"), F.explode("rows").alias("r"))
-    raw = F.trim(F.regexp_replace(F.coalesce("r.raw", F.lit("")), r"^\s*(?:cama\s*)?\d+[\s.)\-]+", ""))
+    raw = clean(F.regexp_replace(F.coalesce("r.raw", F.lit("")), r"(?i)^\s*(?:(?:cama\s*)?#?\s*)?\d+\s*", ""))
     default = F.coalesce(F.create_map(*[F.lit(x) for kv in (folder_status or {"_": "ingresado"}).items() for x in kv])[F.col("folder")], F.lit("ingresado"))
+    said = fields.status("r.estado")
     a = fields.age("r.edad")
-    return build_record(r, F.concat(F.lit("photos:"), F.coalesce("folder", F.lit(""))), source_type=F.lit("photo"), hospital=F.col("place"), surnames=F.col("r.apellidos"), names=F.col("r.nombres"),
-                        full_name=F.when(F.concat_ws("", "r.apellidos", "r.nombres") == "", raw), ci=ids.digits("r.ci"), age=a["value"], age_unit=a["unit"], sex=fields.sex("r.sexo"), origin=F.col("r.direccion"),
-                        status=F.coalesce(present(fields.status("r.estado")), default), obs=F.col("r.observacion"), date=fields.date_of_file("file"), row_raw=F.col("r.raw")).filter("name_key <> '' or ci <> ''")
+    bare = (clean("r.apellidos") == "") & (clean("r.nombres") == "")
+    return build_record(r, F.concat(F.lit("photos:"), F.coalesce("folder", F.lit(""))), source_type=F.lit("photo"), hospital=F.col("place"), surnames=F.when(bare, raw).otherwise(clean("r.apellidos")), names=clean("r.nombres"),
+                        ci=ids.digits("r.ci"), age=a["value"], age_unit=a["unit"], sex=fields.sex(F.substring(F.trim("r.sexo"), 1, 1)), origin=clean("r.direccion"),
+                        status=F.when(said.isin(*STATUSES), said).otherwise(default), obs=clean("r.observacion"), date=fields.date_of_file("file"), row_raw=F.col("r.raw")).filter("name_key <> ''")
 
 
 def read_csv(spark: SparkSession, path: str, columns: tuple[str, ...] = RECORD) -> DataFrame:
     """A CSV of the named columns, whichever of them it has; no rows if there is no file."""
-    if not glob(path):
+    if not exists(spark, path):
         return spark.createDataFrame([], ", ".join(f"{c} string" for c in columns))
     raw = spark.read.csv(path, header=True, multiLine=True, escape='"')
     return raw.select(*[F.coalesce(raw[c], F.lit("")).alias(c) if c in raw.columns else F.lit("").alias(c) for c in columns])
@@ -148,21 +167,32 @@ def page_rows(pages: DataFrame) -> DataFrame:
         F.regexp_count("html", F.lit(r"(?i)<a href=")).cast("long").alias("links"), fields.is_placeholder(title).alias("placeholder"))
 
 
-def map_files(spark: SparkSession, path: str, extract: Callable[[str, bytes], Iterator[dict]], schema: str, pattern: str = "*") -> DataFrame:
-    """Rows that ``extract`` (an OCR, a transcriber, a model) makes of each file; a file that fails gives none."""
+def tolerant_json(text: Column | str) -> Column:
+    """The JSON of a model's answer as text: without a code fence, from its first bracket on; null if it can't be read."""
+    t = F.trim(F.regexp_replace(F.trim(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))), r"(?s)^`+(?:json)?\s*(.*?)`*$", "$1"))
+    body = F.regexp_extract(t, r"(?s)[\[{].*$", 0)
+    return F.when(F.try_parse_json(F.when(body != "", body)).isNotNull(), body)
+
+
+def map_files(spark: SparkSession, path: str, extract: Callable[[str, bytes], Iterator[dict]], schema: str, pattern: str = "*", tries: int = 2) -> DataFrame:
+    """Rows that ``extract`` (an OCR, a transcriber, a model) makes of each file, with ``file`` and ``error``. A file
+    that fails ``tries`` times gives one row, empty but for these two."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in schema.split(",")]
+        names = [c.split()[0] for c in schema.split(",")] + ["file", "error"]
         for b in batches:
             out = []
             for at, content in zip(b["path"], b["content"]):
-                try:
-                    out += list(extract(at, content))
-                except Exception:  # noqa: BLE001  foreign code; one bad file mustn't end the run
-                    continue
-            yield pd.DataFrame(out, columns=names)
+                for k in range(tries):
+                    try:
+                        out += [{**r, "file": at} for r in extract(at, content)]
+                        break
+                    except Exception as e:  # noqa: BLE001  foreign code; one bad file mustn't end the run
+                        if k == tries - 1:
+                            out.append({"file": at, "error": f"{type(e).__name__}: {e}"})
+            yield pd.DataFrame(out, columns=names, dtype=object)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content").mapInPandas(run, schema)
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content").mapInPandas(run, f"{schema}, file string, error string")
 
 
 def distinct_frames(frames: DataFrame) -> DataFrame:
@@ -180,18 +210,22 @@ def names_of_json(c: str = "json") -> Column:
 
 def split_people(rows: DataFrame) -> DataFrame:
     """rows (id, nombre, cedula, edad, genero, ciudad, zona, status) of a registry API as records; a name
-    field of several people gives one each, id '#k', and keeps age and sex only where it is one."""
-    many = F.filter(F.transform(F.split("nombre", r"(?i)\s+(?:y|e)\s+|\s*[/&]\s*"), F.trim), lambda x: x != "")
-    people = F.when(ids.is_multi("nombre") | F.col("nombre").rlike("[/&]"), many).otherwise(F.array("nombre"))
+    field of several people gives one each, all but the first with the id '#k', and age and sex only where it is one.
+    Rows with an ``error`` of the source are left out, as are names without a word, unless they are one person with a number."""
+    rows = rows.filter("error is null") if "error" in rows.columns else rows
+    many = F.filter(F.transform(F.split("nombre", r"(?i)\s+(?:y|e)\s+|\s*[/&]\s*"), lambda x: F.trim(x)), lambda x: x != "")
+    people = F.when(ids.is_multi("nombre") | F.col("nombre").rlike("[/&]"), many).otherwise(F.array(F.coalesce("nombre", F.lit(""))))
     r = rows.withColumn("n", F.size(people)).select("*", F.posexplode(people).alias("k", "who"))
     solo = F.col("n") == 1
-    r = r.withColumn("uid", F.when(solo, F.col("id").cast("string")).otherwise(F.concat_ws("#", F.col("id").cast("string"), F.col("k").cast("string"))))
-    number = F.coalesce(F.get(ids.find_ids("who"), F.lit(0)), F.when(solo, present(ids.digits("cedula"))))
-    place = F.concat_ws(", ", present("ciudad"), F.when(F.lower("zona") != F.lower("ciudad"), present("zona")))
+    key = F.col("id").cast("string")
+    r = r.withColumn("uid", F.when(F.col("k") == 0, key).otherwise(F.concat_ws("#", key, F.col("k").cast("string"))))
+    found = F.get(ids.find_ids("who"), F.lit(0))
+    number = F.coalesce(F.when(solo, present(ids.digits("cedula"))), found)
+    place = F.concat_ws(" / ", present(clean("ciudad")), F.when(clean("zona") != clean("ciudad"), present(clean("zona"))))
     a = fields.age(F.when(solo, F.col("edad").cast("string")))
-    out = build_record(r, "registry", source_type=F.lit("api"), full_name=ids.strip_ids("who"), ci=number, age=a["value"], age_unit=a["unit"], sex=F.when(solo, fields.sex("genero")), origin=place,
-                       status=fields.status(F.coalesce("status", F.lit("buscando"))), obs=F.concat(F.lit("id="), "uid"), row_raw=F.substring("nombre", 1, 120))
-    return out.filter(~ids.is_junk("full_name"))
+    r = r.filter(~ids.is_junk(ids.strip_ids("who")) | (solo & number.isNotNull()))
+    return build_record(r, "registry", source_type=F.lit("api"), full_name=F.upper(ids.strip_ids("who")), ci=number, age=a["value"], age_unit=a["unit"], sex=F.when(solo, fields.sex(F.substring(F.trim("genero"), 1, 1))), origin=place,
+                        status=fields.status(F.coalesce("status", F.lit("buscando"))), obs=F.concat(F.lit("id="), "uid"), row_raw=F.substring("zona", 1, 120))
 
 
 class RegistrySource(DataSource):
@@ -199,14 +233,16 @@ class RegistrySource(DataSource):
 
     Options: path (a folder of <status>.json files, each {"total", "personas"}), statuses (comma-separated),
     since (ISO time, rows changed later), q (words of a name), page (rows a page), max (rows a status).
-    A fetcher over HTTP takes the same place by ``RegistrySource.fetch``."""
+    retries (of a page, 2 by default) and wait (seconds before the first, doubled by each). A page that still fails ends its
+    status with a row that holds only ``status`` and ``error``. A fetcher over HTTP takes the same place by
+    ``RegistryReader.fetch``."""
 
     @classmethod
     def name(cls) -> str:
         return "registry"
 
     def schema(self) -> str:
-        return "id string, nombre string, cedula string, edad string, genero string, ciudad string, zona string, updated string, status string"
+        return "id string, nombre string, cedula string, edad string, genero string, ciudad string, zona string, updated string, status string, error string"
 
     def reader(self, schema) -> RegistryReader:
         return RegistryReader(dict(self.options))
@@ -227,19 +263,32 @@ class RegistryReader(DataSourceReader):
         rows = [r for r in rows if str(r.get("updated") or "") >= since and q in str(r.get("nombre") or "").lower()]
         return {"total": len(rows), "personas": rows[offset : offset + size]}
 
+    def page(self, status: str, offset: int, size: int) -> dict:
+        wait = float(self.options.get("wait", 0.5))
+        for k in range(int(self.options.get("retries", 2)), -1, -1):
+            try:
+                return self.fetch(status, offset, size)
+            except (OSError, ValueError):
+                if not k:
+                    raise
+                time.sleep(wait)
+                wait *= 2
+        raise AssertionError
+
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         status, seen = partition.value, 0
         most, size = int(self.options.get("max", 1 << 60)), int(self.options.get("page", 100))
         while seen < most:
             try:
-                page = self.fetch(status, seen, size)
-            except (OSError, ValueError):  # a status that fails doesn't end the others
+                page = self.page(status, seen, size)
+            except (OSError, ValueError) as e:  # a status that fails doesn't end the others
+                yield (*[None] * 8, status, f"at {seen}: {type(e).__name__}")
                 return
             rows = page.get("personas") or []
             if not rows:
                 return
             for r in rows[: most - seen]:
-                yield tuple(None if r.get(c) is None else str(r[c]) for c in ("id", "nombre", "cedula", "edad", "genero", "ciudad", "zona", "updated")) + (status,)
+                yield tuple(None if r.get(c) is None else str(r[c]) for c in ("id", "nombre", "cedula", "edad", "genero", "ciudad", "zona", "updated")) + (status, None)
             seen += len(rows)
             if seen >= page.get("total", seen):
                 return

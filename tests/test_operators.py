@@ -1,6 +1,5 @@
 """Operators that no SQL expresses: resolution, review, streams, sources, plans."""
 
-import json
 import random
 import time
 from difflib import SequenceMatcher
@@ -8,10 +7,9 @@ from difflib import SequenceMatcher
 import pytest
 from cairn.functions import fields, ids
 from cairn.functions import text as T
-from cairn.operators import graph, resolve, review
+from cairn.operators import centers, geo, graph, resolve, review
 from cairn.operators.registry import admit
 from cairn.plans.question import plan
-from cairn.sources import readers
 from cairn.streaming import maintain
 from cairn.streaming.state import limit_requests
 from pyspark.sql import functions as F
@@ -118,25 +116,38 @@ def test_micro_batches_are_idempotent(spark, tmp_path):
     assert maintain.persons(snaps.read()).count() == 2
 
 
-def test_registry_source(spark, tmp_path):
-    rows = [{"id": k, "nombre": f"Ana {k}", "cedula": None, "updated": f"2024-01-0{k}"} for k in range(1, 6)]
-    (tmp_path / "buscando.json").write_text(json.dumps({"total": 5, "personas": rows}))
-    spark.dataSource.register(readers.RegistrySource)
-    load = lambda **o: spark.read.format("registry").options(path=str(tmp_path), statuses="buscando,gone", page="2", **o).load()
-    assert load().count() == 5 and load(since="2024-01-04").count() == 2 and load(max="3").count() == 3
+ZONES = [("Naiguatá", 10.6, -66.7), ("La Guaira", 10.6, -66.9), ("Los Caracas", 10.65, -66.57), ("Caracas", 10.5, -66.9), ("Ñ", 1.0, 2.0), ("", 0.0, 0.0)]
 
 
-def test_text_readers(spark, tmp_path):
-    (tmp_path / "a.txt").write_text("  12  PEREZ MORA  ANA  12345678  34  F  PLAYA GRANDE  HOSPITAL VARGAS DE CARACAS  25/06/2026\nheading\n")
-    r = readers.read_columns(spark, str(tmp_path / "a.txt"), "t").first()
-    assert (r["ci"], r["age"], r["sex"], r["hospital"], r["date"]) == ("12345678", "34", "F", "Hospital Vargas de Caracas", "25/06/2026")
-    assert readers.read_csv(spark, str(tmp_path / "none.csv")).count() == 0 and readers.read_columns(spark, str(tmp_path / "none"), "t").count() == 0
+def test_gazetteer_is_the_same_by_broadcast_and_by_keys(spark):
+    texts = ["Naiguata, La Guaira", "sector de LOS CARACAS", "xcaracasx", "nada", "", None, "y la guairaaa", "ñ", "caraca"]
+    places = spark.createDataFrame([(k % 7, k // 7, t) for k, t in enumerate(texts)], "id int, pos int, origin string")
+    zones = spark.createDataFrame(ZONES, "zone string, lat double, lng double")
+    by = [{r["id"]: r["zone"] for r in geo.zones_found(places, zones, limit=limit).collect()} for limit in (1 << 20, 0)]
+    assert by[0] == by[1] == {0: "Naiguatá", 1: "Los Caracas", 2: "Caracas", 3: "Ñ", 6: "La Guaira"}
 
 
-def test_json_lines_survive_damage(spark):
-    text = '```json\n{"k": 1},\n{"k": 2\n{"k": 3}\n```'
-    got = readers.json_lines(spark.createDataFrame([(1, text)], "id int, text string"), "k long").collect()
-    assert [r["k"] for r in got] == [1, 3]
+def test_geocode_tiers(spark):
+    zones = spark.createDataFrame(ZONES[:2], "zone string, lat double, lng double")
+    sites = spark.createDataFrame([(1, 10.601, -66.701), (2, 11.0, -66.0)], "site_id long, lat double, lng double")
+    asked = ["Edif Las Palmas, Naiguatá", "Edif Las Palmas, La Guaira", "Torre Miramar", "Torre Bahia", "La Guaira", "en otra parte", "Residencia Sola", "", "conocido"]
+    hits = [("edif las palmas, naiguata", 10.61, -66.71, "Las Palmas"), ("edif las palmas, la guaira", 10.3, -66.9, "Las Palmas"), ("torre miramar", 10.60, -66.9, "Miramar Torre"), ("torre bahia", 10.9, -66.9, "Torre Bahia"), ("residencia sola", 10.60, -66.9, "Otra Cosa")]
+    cache = spark.createDataFrame([("conocido", 1.0, 2.0, "building", "c")], "q string, lat double, lng double, tier string, label string")
+    got = {r["q"]: (r["lat"], r["lng"], r["tier"]) for r in geo.geocode(spark.createDataFrame([(a,) for a in asked], "origin string"), zones, sites, spark.createDataFrame(hits, geo.NO_BUILDING), cache).collect()}
+    assert got == {"edif las palmas, naiguata": (10.61, -66.71, "building"), "edif las palmas, la guaira": (10.6, -66.9, "sector"), "torre miramar": (10.60, -66.9, "building"), "torre bahia": (None, None, None),
+                   "la guaira": (10.6, -66.9, "sector"), "en otra parte": (None, None, None), "residencia sola": (None, None, None), "conocido": (1.0, 2.0, "building")}
+    people = spark.createDataFrame([(1, ["No indicada", "otra", "Naiguatá"]), (2, ["conocido"]), (3, [])], "id int, origins array<string>")
+    at = {r["id"]: (r["origins"][:1], r["lat"], r["geo_tier"]) for r in geo.attach(people, zones, sites, cache).collect()}
+    assert at == {1: (["Naiguatá"], 10.601, "zone"), 2: (["conocido"], 1.0, "building"), 3: ([], None, None)}
+    assert geo.coverage(geo.attach(people, zones, sites, cache)).first().asDict() == {"persons": 3, "placed_pct": 66, "building_pct": 33}
+
+
+def test_merged_centers(spark):
+    rows = [(1, "Centro Rio Alto", "A", "s1", "", "", "9-5", ["agua"]), (2, "centro  río alto", "a", "s2", "calle", "", "", ["ropa"]), (3, "Centro Rio Alto", "A", "s1", "", "555", "8-4", []), (4, "Centro de Ayuda", "A", "s1", "", "", "", []), (5, "Centro de Ayuda", "A", "s2", "", "", "", []), (6, "Otro", "", "s9", "", "", "", [])]
+    df = spark.createDataFrame(rows, "center_id long, name string, municipality string, source string, address string, phone string, hours string, needs_tags array<string>")
+    got = {r["center_id"]: (r["canonical_id"], r["merged_sources"], r["address"], r["phone"], r["hours"], r["needs_tags"]) for r in centers.merged(df).collect()}
+    assert got[2] == (None, "s1,s2", "calle", "555", "9-5", ["agua", "ropa"]) and got[1][0] == got[3][0] == 2 and got[1][1] is None
+    assert got[4][0] is got[5][0] is got[6][0] is None and got[4][1] is None  # generic words alone don't merge
 
 
 def test_plans():
