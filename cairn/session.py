@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,13 +61,22 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read again: what ``cut`` does, for rows that compress well."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _made.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def mark() -> int:
     """A place in the list of checkpoints, for ``release``."""
     return len(_made)
 
 
 def release(spark: SparkSession, since: int) -> None:
-    """Delete the checkpoints made since ``mark()``; what was computed from them must be written by now."""
+    """Delete the checkpoints and stored tables made since ``mark()``; what was computed from them must be written by now."""
     for path in _made[since:]:
         delete(spark, path)
     del _made[since:]
