@@ -1,4 +1,5 @@
 import math
+import random
 
 import duckdb
 import pytest
@@ -16,7 +17,7 @@ def made():
 def test_quotas_and_repeats(spark):
     docs = spark.createDataFrame(made(), SCHEMA)
     tokens = {r["source"]: r["n"] for r in docs.groupBy("source").agg(F.sum(F.regexp_count("text", F.lit(r"\S+"))).alias("n")).collect()}
-    budget = sum(tokens.values())
+    budget = math.floor(sum(tokens.values()) * mixture.BUDGET_SHARE)
     w = mixture.weights(tokens, mixture.exponent(tokens, budget))
     got = {r["source"]: (r["n"], r["p"], r["most"]) for r in mixture.mix(docs, block_tokens=500).groupBy("source").agg(F.sum("tokens").alias("n"), F.max("pass").alias("p"), F.max("tokens").alias("most")).collect()}
     for k, (n, passes, most) in got.items():
@@ -26,6 +27,22 @@ def test_quotas_and_repeats(spark):
     assert once.count() == once.select("doc_id").distinct().count() == 20
 
 
+def test_many_sources_are_bisected_by_aggregation(spark):
+    r = random.Random(2)
+    rows = [(i, f"s{i % 40}", "w " * (1 + (i % 40) ** 2 // 20 + r.randrange(3))) for i in range(2000)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for entropy, repeats in ((0.9, 1e9), (0.999, 1.5), (0.1, 4.0), (0.97, 1.0)):
+        few, many = (sorted(map(tuple, mixture.mix(docs, entropy=entropy, repeats=repeats, driver_sources=n).collect())) for n in (10**6, 0))
+        assert few == many and few
+
+
+def test_registered_query_bisects_and_passes_again(spark, sf):
+    docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")
+    tokens = {r["source"]: r["n"] for r in docs.groupBy("source").agg(F.sum(F.regexp_count("text", F.lit(r"\S+"))).alias("n")).collect()}
+    assert 0 < mixture.exponent(tokens, math.floor(sum(tokens.values()) * mixture.BUDGET_SHARE)) < 1
+    assert mixture.mix(docs).agg(F.max("pass")).first()[0] >= 2
+
+
 def test_exponent_meets_its_limits():
     t = {"a": 10_000, "b": 500, "c": 10}
     h = lambda a: -sum(x * math.log(x) for x in mixture.weights(t, a).values()) / math.log(3)
