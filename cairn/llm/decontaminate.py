@@ -1,9 +1,9 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-1. The words of the benchmark are counted over the whole corpus. A run of SEED words of a test item is
-   a seed if it is rare: the number of times that it would occur by chance, the corpus size times the
-   product of its words' shares, is at most CHANCE. (Its own count would say less: a leaked item makes
-   its n-grams frequent.) An item without a rare run uses all its runs; an item shorter than SEED, itself.
+1. The words of the benchmark are counted over the whole corpus. Of a test item's runs of SEED words the rarest
+   SEED_SHARE, LEAST_SEEDS at least, are its seeds; a run is rare by the product of its words' shares. (Its own
+   count would say less: a leaked item makes its n-grams frequent.) Ranks don't depend on the size of the corpus. An
+   item shorter than MIN_ITEM is its own only seed.
 2. A pass over the corpus joins the passages to the items on their seeds; a passage reaches as far
    around a seed as the item could.
 3. Passage and item are aligned word by word (match 2, mismatch and gap -1, Smith-Waterman). A pair
@@ -31,7 +31,7 @@ from cairn.llm import kernel
 from cairn.session import BROADCAST_BYTES, cut
 
 SEED = 3
-CHANCE = 0.05
+SEED_SHARE, LEAST_SEEDS = 0.6, 8
 SCORE = 0.5
 MIN_ITEM = 5
 PART_WORDS = 4_000_000
@@ -118,8 +118,9 @@ class Seeds:
             size = min(SEED, len(w))
             if len(w) < MIN_ITEM:
                 size = len(w)
-            rare = np.log(max(1, total)) + np.convolve(np.log(share[np.searchsorted(known, w)]), np.ones(size), "valid") <= np.log(CHANCE)
-            at = np.flatnonzero(rare) if rare.any() else np.arange(len(w) - size + 1)
+            chance = np.convolve(np.log(share[np.searchsorted(known, w)]), np.ones(size), "valid")
+            keep = max(LEAST_SEEDS, int(np.ceil(SEED_SHARE * len(chance))))
+            at = np.sort(np.argsort(np.round(chance, 9), kind="stable")[:keep])
             h.append(self.gram(w, size)[at])
             item.append(np.full(len(at), i))
             pos.append(at)
@@ -173,7 +174,10 @@ def _scan(seeds: Seeds, score: float, batches: Iterator[pa.RecordBatch]) -> Iter
             slack = size[i] // 2 + 2
             lo = max(w.first[r], start[g] - slack)
             hi = min(w.first[r + 1], e + size[i] + slack)
-            s = align(seeds.words[i], w.hash[lo:hi]) / (MATCH * size[i])
+            window = w.hash[lo:hi]
+            if np.isin(seeds.words[i], window).sum() < score * size[i]:
+                continue  # every match takes a word of the item that is here
+            s = align(seeds.words[i], window) / (MATCH * size[i])
             if s >= score:
                 out[r, i] = max(s, out.get((r, i), 0.0))
         if out:

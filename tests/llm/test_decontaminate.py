@@ -40,6 +40,31 @@ def test_leaks_equal_brute_force(spark):
     assert set(parts) == set(got)  # a large benchmark takes several passes
 
 
+def test_seeds_do_not_depend_on_the_corpus_size():
+    r = np.random.default_rng(4)
+    known = np.sort(r.integers(0, 1 << 63, 500).astype(np.uint64))
+    n = r.integers(1, 1000, 500)
+    items = [known[r.integers(0, 500, k)] for k in (4, 9, 30, 80)]
+    one, many = (d.Seeds(np.arange(4), items, known, n * k, int(n.sum()) * 10 * k) for k in (1, 100_000))
+    assert (one.hash == many.hash).all() and (one.pos == many.pos).all() and len(one.hash) < sum(map(len, items))
+
+
+def test_edited_copies_are_found_among_common_words(spark):
+    """Recall of copies with a sixth of the words changed, where the corpus is full of the items' words."""
+    r = random.Random(8)
+    vocabulary = [f"v{k}" for k in range(400)]
+    w = lambda n: [r.choice(vocabulary) for _ in range(n)]
+    items = [(k, w(r.randrange(20, 60))) for k in range(100)]
+    docs = [(1000 + i, " ".join(w(400))) for i in range(300)]
+    for k, t in items:
+        t = list(t)
+        for at in r.sample(range(len(t)), len(t) // 6):
+            t[at] = r.choice(vocabulary)
+        docs.append((k, " ".join(w(50) + t + w(50))))
+    got = {(x["doc_id"], x["item_id"]) for x in d.leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame([(k, " ".join(t)) for k, t in items], ITEMS)).collect()}
+    assert sum((k, k) in got for k in range(100)) >= 99 and not any(i >= 1000 for i, _ in got)
+
+
 def test_edge_rows(spark):
     q = "what is the capital of the small green island"
     docs = [(None, q), (1, None), (2, ""), (3, q), (3, q), (4, "so: What is the CAPITAL of the small, green island! " + "and more " * 30_000), (5, "nothing of it")]
