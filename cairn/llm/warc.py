@@ -3,11 +3,11 @@
 The reader streams: it holds a record and a read buffer, whatever the size of the archive. It loads the
 dictionary (itself compressed or not), decodes a frame at a time and validates each record: version
 line, header syntax, mandatory fields, Content-Length against the block, the closing empty lines and,
-where there is one, the SHA-1 of the block.
+where there are such, the SHA-1 of the block and of the payload.
 
-Defined results: a faulty record is a row with ``error``; a frame that can't be decoded gives a row with
-``error`` and ends its archive, as nothing tells where the next frame starts; an empty archive has no
-rows; null archives are skipped, repeated ones read again; columns but (archive, content) play no part; a page of null html is an empty record, of null url one without a target.
+Defined results: a faulty record is a row with ``error``; bytes that can't be decoded give one row with
+``error`` up to the next frame that decodes to a record, from which the archive goes on; without its dictionary an archive
+is one such row; an empty archive has no rows; null archives are skipped, repeated ones read again; columns but (archive, content) play no part; a page of null html is an empty record, of null url one without a target.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 DICTIONARY = 0x184D2A5D
 FRAME = b"\x28\xb5\x2f\xfd"
-READ = 32 << 10
+READ, PIECE = 64 << 10, 8 << 10
 ARCHIVE_BYTES = 16 << 20
 RECORDS = "archive string, offset long, version string, type string, record_id string, date string, target_uri string, fields map<string,string>, length long, block binary, error string"
 _ARROW = pa.schema([("archive", pa.string()), ("offset", pa.int64()), ("version", pa.string()), ("type", pa.string()), ("record_id", pa.string()), ("date", pa.string()), ("target_uri", pa.string()),
@@ -75,72 +75,104 @@ def parse(raw: bytes) -> dict:
     out["block"] = rest[:n]
     if rest[n:] != b"\r\n\r\n":
         return out | {"error": "block not closed" if len(rest) < n + 4 else "block longer than its length"}
-    for name in ("warc-block-digest", "warc-payload-digest"):
+    for name, of in (("warc-block-digest", lambda: out["block"]), ("warc-payload-digest", lambda: payload(fields, out["block"]))):
         want = fields.get(name, "")
-        if want.startswith("sha1:") and name == "warc-block-digest" and want != digest(out["block"]):
-            return out | {"error": "digest"}
+        if want.startswith("sha1:") and fields["warc-type"] != "revisit" and want != digest(of()):
+            return out | {"error": "digest" if name == "warc-block-digest" else "payload digest"}
     return out
 
 
-def records(stream: BinaryIO) -> Iterator[dict]:
-    """Records of an archive with their offsets."""
-    held = b""
-    offset = 0
-
-    def more() -> bool:
-        nonlocal held
-        got = stream.read(READ)
-        held += got
-        return bool(got)
-
-    def need(n: int) -> bool:
-        while len(held) < n:
-            if not more():
+def payload(fields: dict[str, str], block: bytes) -> bytes:
+    """What is in an HTTP message after its head; any other block is its own payload."""
+    http = fields.get("content-type", "").replace(" ", "").lower().startswith("application/http")
+    return block.partition(b"\r\n\r\n")[2] if http else block
+
+
+class _Input:
+    """A stream with a window: what was read stays until it is passed, so that a reader can go back in it."""
+
+    def __init__(self, stream: BinaryIO):
+        self.stream, self.held, self.offset = stream, bytearray(), 0
+
+    def need(self, n: int) -> bool:
+        while len(self.held) < n:
+            got = self.stream.read(READ)
+            if not got:
                 return False
+            self.held += got
         return True
 
+    def skip(self, n: int) -> None:
+        del self.held[:n]
+        self.offset += n
+
+
+def _frame(src: _Input, book) -> tuple[bytes | None, int, str | None]:
+    """(content, length, fault) of the frame at the head of the input; nothing is passed."""
+    one = zstandard.ZstdDecompressor(max_window_size=1 << 31, **({"dict_data": book} if book else {})).decompressobj()
+    parts, at = [], 0
+    try:
+        while True:
+            if not src.need(at + 1):
+                return None, at, "frame cut off"
+            piece = bytes(src.held[at : at + PIECE])
+            parts.append(one.decompress(piece))
+            at += len(piece)
+            if one.eof:
+                return b"".join(parts), at - len(one.unused_data), None
+    except zstandard.ZstdError as e:
+        return None, at, f"frame: {e}"
+
+
+def _resync(src: _Input, book) -> None:
+    """Pass over bytes up to a frame that decodes to a record, or to the end."""
+    while True:
+        at = src.held.find(FRAME, 1)
+        if at < 0:
+            keep = len(FRAME) - 1
+            src.skip(max(0, len(src.held) - keep))
+            if not src.need(keep + 1):
+                src.skip(len(src.held))
+                return
+            if not src.held.startswith(FRAME):
+                continue
+        else:
+            src.skip(at)
+        body, _, fault = _frame(src, book)
+        if fault is None and body.startswith(b"WARC/"):
+            return
+
+
+def records(stream: BinaryIO) -> Iterator[dict]:
+    """Records of an archive with their offsets."""
+    src = _Input(stream)
     book = None
     first = True
-    while need(1):
-        if not need(4):
-            yield {"offset": offset, "error": "bytes after the last frame"}
-            return
-        magic = struct.unpack("<I", held[:4])[0]
-        if magic & 0xFFFFFFF0 == 0x184D2A50:
-            if not need(8) or not need(8 + (n := struct.unpack("<I", held[4:8])[0])):
-                yield {"offset": offset, "error": "skippable frame cut off"}
-                return
-            body = held[8 : 8 + n]
-            held = held[8 + n :]
+    while src.need(1):
+        start = src.offset
+        magic = struct.unpack("<I", src.held[:4])[0] if src.need(4) else 0
+        if magic & 0xFFFFFFF0 == 0x184D2A50 and src.need(8) and src.need(8 + (n := struct.unpack("<I", src.held[4:8])[0])):
+            body = bytes(src.held[8 : 8 + n])
             if first and magic == DICTIONARY:
                 try:
                     if body[:4] == FRAME:
                         body = zstandard.ZstdDecompressor().decompressobj().decompress(body)
                     book = zstandard.ZstdCompressionDict(body)
                 except zstandard.ZstdError as e:
-                    yield {"offset": offset, "error": f"dictionary: {e}"}
+                    yield {"offset": start, "error": f"dictionary: {e}"}
                     return
-            offset += 8 + n
+            src.skip(8 + n)
+        elif bytes(src.held[:4]) == FRAME:
+            body, n, fault = _frame(src, book)
+            if fault is None:
+                yield {"offset": start, **parse(body)}
+                src.skip(n)
+            else:
+                yield {"offset": start, "error": fault}
+                _resync(src, book)
         else:
-            z = zstandard.ZstdDecompressor(dict_data=book, max_window_size=1 << 31) if book else zstandard.ZstdDecompressor(max_window_size=1 << 31)
-            one = z.decompressobj()
-            parts, size = [], 0
-            try:
-                while True:
-                    parts.append(one.decompress(held))
-                    size += len(held)
-                    if one.eof:
-                        break
-                    held = b""
-                    if not more():
-                        yield {"offset": offset, "error": "frame cut off"}
-                        return
-            except zstandard.ZstdError as e:
-                yield {"offset": offset, "error": f"frame: {e}"}
-                return
-            held = one.unused_data
-            yield {"offset": offset, **parse(b"".join(parts))}
-            offset += size - len(held)
+            yield {"offset": start, "error": "skippable frame cut off" if magic & 0xFFFFFFF0 == 0x184D2A50 else "not a frame"}
+            _resync(src, book)
         first = False
 
 
