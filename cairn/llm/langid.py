@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.llm import kernel
-from cairn.session import BROADCAST_BYTES
+from cairn.session import BROADCAST_BYTES, bounded, cut
 
 BUCKETS = 4096
 SAMPLE = 400
@@ -106,7 +106,7 @@ def train(docs: DataFrame, idf: np.ndarray, sample: int = SAMPLE, k: int = CENTR
         least = REJECT * float(np.quantile((v @ c.T).max(1), 0.01))
         return pa.table({"lang": [t.column("lang")[0].as_py()] * len(c), "k": pa.array(range(len(c)), pa.int32()), "centroid": pa.array(list(c), pa.list_(pa.float32())), "least": [least] * len(c)})
 
-    some = docs.select("doc_id", "lang", "text").filter("text is not null and lang is not null").join(F.broadcast(ids), "doc_id", "left_semi")
+    some = docs.select("doc_id", "lang", "text").filter("text is not null and lang is not null").join(bounded(cut(ids), 16), "doc_id", "left_semi")
     rows = some.select("lang", "text").groupBy("lang").applyInArrow(fit, "lang string, k int, centroid array<float>, least double").orderBy("lang", "k").collect()
     return [r["lang"] for r in rows], np.array([r["centroid"] for r in rows], np.float32).reshape(len(rows), BUCKETS), np.array([r["least"] for r in rows])
 

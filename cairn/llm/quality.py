@@ -1,7 +1,7 @@
 """Quality classifier: interpolated modified Kneser-Ney over byte n-grams of trusted text.
 
 Training counts the byte 5-grams of every trusted labelled document (quality 1, not toxic) but for a
-held-out fifth, one model per language. Counts, continuation counts, context totals and the
+held-out fifth, one model per language (a language of two such documents or more has one on each side; of one, no threshold). Counts, continuation counts, context totals and the
 interpolated probabilities are joins and aggregations of tables sharded by (language, code). A code
 packs the bytes of an n-gram into a long, so a suffix is a mask, a context is a shift, and there are
 no collisions. A document is rejected if its perplexity per byte exceeds its language's threshold,
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.llm import kernel
-from cairn.session import BROADCAST_BYTES, cut
+from cairn.session import BROADCAST_BYTES, bounded, cut
 
 ORDER = 5
 HELD_OUT = 5
@@ -90,8 +90,13 @@ def trusted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     good = labels.filter("quality = 1 and toxic = 0 and doc_id is not null").select("doc_id").distinct()
     if good.count() * 16 <= BROADCAST_BYTES:
         good = F.broadcast(good)
-    return docs.select("doc_id", "lang", "text").join(good, "doc_id", "left_semi").select(
-        "lang", "text", (F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0).alias("held"))
+    some = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "text").join(good, "doc_id", "left_semi")
+    h = F.xxhash64("doc_id")
+    held = F.pmod(h, F.lit(HELD_OUT)) == 0
+    one = some.groupBy("lang").agg(F.min(h).alias("least"), F.max(h).alias("last"), F.bool_or(held).alias("any"), F.bool_and(held).alias("all"))
+    one = bounded(cut(one.filter((F.col("any") == F.col("all")) & (F.col("least") < F.col("last"))).select("lang", "least")), 64)
+    # a language of two documents or more has some on both sides
+    return some.join(one, "lang", "left").select("lang", "text", F.when(h == F.col("least"), ~held).otherwise(held).alias("held"))
 
 
 def _discounts(level: DataFrame) -> DataFrame:
@@ -117,7 +122,7 @@ def model(train: DataFrame) -> DataFrame:
     lower = None
     probs, weights = [], []
     for k in range(1, ORDER + 1):
-        t = levels[k].join(F.broadcast(_discounts(levels[k])), "lang")
+        t = levels[k].join(_discounts(levels[k]), "lang")
         of = Window.partitionBy("lang", "ctx")
         cut_off = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
         t = t.withColumn("ctx", F.shiftright("code", 8)).withColumn("off", cut_off)
@@ -275,7 +280,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, sla
     m, limits = thresholds(docs, labels, quantile, slack)
     some = docs.filter(F.octet_length("text") > 0)
     out = score(some, m, limit, drop).withColumn("_lang", F.coalesce("lang", F.lit("")))
-    out = out.join(F.broadcast(limits), "_lang", "left").drop("_lang")
+    out = out.join(bounded(limits, 64), "_lang", "left").drop("_lang")
     return out.filter("threshold is null or perplexity is null or perplexity <= threshold")
 
 
