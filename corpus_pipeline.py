@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from cairn.llm import decontaminate, mixture, neardup, quality, spans
-from cairn.session import shared_dir
+from cairn.session import delete, mark, release, shared_dir
 
 STAGES = [
     ("quality", quality.stage),
@@ -27,10 +27,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The mixture of all documents. Checkpoints of a stage and the documents it read are deleted once it is
+    written; the last stage's folder stays, as the result is read from it.
+
+    Defined results: a document of null or empty text goes in the first stage; null doc_ids pass all stages
+    but the last; columns of any other name pass all but the last; an empty table gives no rows."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
-        path = f"{folder}/{k}-{name}"
+        path, start = f"{folder}/{k}-{name}", mark()
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        release(spark, start)
+        if before:
+            delete(spark, before)
+        before = path
     return docs
