@@ -23,3 +23,19 @@ def inside(lat: Column | str, lng: Column | str, box: tuple[float, float, float,
 
 def cell(x: Column | str, size: float) -> Column:
     return F.floor(col(x) / size)
+
+
+def damage_height(p: Column | str) -> Column:
+    """Height on the map, in metres, of a footprint that is damaged with probability p."""
+    return F.lit(6.0) + F.lit(26.0) * col(p)
+
+
+def zone_radius(total: Column | str) -> Column:
+    """Radius on the map, in pixels, of a zone's circle of ``total`` people."""
+    return F.least(F.lit(38.0), F.lit(7.0) + F.lit(1.7) * F.sqrt(col(total)))
+
+
+def jitter(x: Column | str, key: Column | str, spread: float) -> Column:
+    """x moved by up to ``spread`` either way, the same for one key each time."""
+    part = F.pmod(F.xxhash64(col(key)), F.lit(1_000_001)) / 1_000_000
+    return col(x) + (part * 2 - 1) * spread

@@ -67,8 +67,7 @@ def name_key(*parts: Column | str) -> Column:
 
 def squeeze_repeats(x: Column | str) -> Column:
     """Drop a word that repeats the one before it, whatever the case."""
-    words = F.split(clean(x), " ")
-    return F.array_join(F.filter(words, lambda w, i: (i == 0) | (F.upper(w) != F.upper(F.get(words, i - 1)))), " ")
+    return F.regexp_replace(clean(x), r"(?iu)(?<!\S)(\S+)(?: \1)+(?!\S)", "$1")
 
 
 _SWAPS = (("v", "b"), ("b", "v"), ("s", "z"), ("z", "s"), ("y", "i"), ("j", "g"), ("ll", "y"), ("rr", "r"))

@@ -11,6 +11,7 @@ from pyspark.sql.types import DoubleType
 
 from cairn.functions import ids
 from cairn.functions.fields import ages_fit
+from cairn.operators import skew
 from cairn.operators.resolve import words_of
 
 ALIKE, SUPPORTED, YEARS = 0.82, 0.5, 2
@@ -42,7 +43,7 @@ def possible_same(entities: DataFrame) -> DataFrame:
     x = e.select(F.explode("blocks").alias("block"), F.struct(*e.columns).alias("a"))
     y = e.select(F.explode("blocks").alias("block"), F.struct(*e.columns).alias("b"))
     first = F.col("block") == F.array_min(F.array_intersect("a.blocks", "b.blocks"))  # a pair comes from its least block only
-    p = x.join(y, "block").filter((F.col("a.entity") < F.col("b.entity")) & first & ages_fit("a.years", "b.years", YEARS))
+    p = skew.pairs(x, y, "block").filter((F.col("a.entity") < F.col("b.entity")) & first & ages_fit("a.years", "b.years", YEARS))
     close = lambda *kinds: F.exists("a.cis", lambda c: F.exists("b.cis", lambda d: ids.relation(c, d).isin(*kinds)))
     p = p.withColumn("equal", close("equal")).withColumn("close", F.col("equal") | close("flip"))
     p = p.withColumn("shared", F.arrays_overlap("a.words", "b.words"))
@@ -56,6 +57,11 @@ def possible_same(entities: DataFrame) -> DataFrame:
     return found.union(rest.filter((F.col("r") >= ALIKE) | (F.col("close") & (F.col("r") >= SUPPORTED))).select("a", "b"))
 
 
+def different_numbers(a: str, b: str) -> Column:
+    """Both have numbers, and none in common."""
+    return (F.size(a) > 0) & (F.size(b) > 0) & ~F.arrays_overlap(a, b)
+
+
 def relation_summary(pairs: DataFrame) -> DataFrame:
     """Label of each pair (with arrays cis_a and cis_b): equal before flip before diff, or a missing number."""
     some = lambda kind: F.exists("cis_a", lambda c: F.exists("cis_b", lambda d: ids.relation(c, d) == kind))
@@ -63,17 +69,24 @@ def relation_summary(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("relation", label)
 
 
-def report(entities: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The review report as lines (section, line), in order: counts, conflicts, name-only merges, pairs."""
-    line = F.concat_ws(" | ", F.col("entity").cast("string"), "display_name", F.array_join("cis", ","), F.array_join("sources", ","), F.col("n_records").cast("string"))
-    counts = entities.agg(F.count(F.lit(1)).alias("entities"), F.count_if("ci_conflict").alias("ci_conflict"), F.count_if(F.size("sources") > 1).alias("cross_source"), F.count_if("deceased").alias("deceased"))
-    head = counts.select(F.lit("1 counts").alias("section"), F.to_json(F.struct("*")).alias("line"))
-    part = lambda name, cond: entities.filter(cond).select(F.lit(name).alias("section"), line.alias("line"))
-    body = [part("2 ci_conflict", F.col("ci_conflict"))]
-    if "only_name_merge" in entities.columns:
-        body.append(part("3 name_only", F.col("only_name_merge") & (F.col("n_records") > 1)))
-    body.append(pairs.select(F.lit("4 possible_same").alias("section"), F.concat_ws(" ~ ", F.col("a").cast("string"), F.col("b").cast("string")).alias("line")))
-    out = head
-    for b in body:
-        out = out.union(b)
+def report(entities: DataFrame, pairs: DataFrame, records: DataFrame | None = None) -> DataFrame:
+    """The review report as lines (section, line): the counts, then number conflicts, pairs (a, b) of different numbers, other pairs,
+    people in several hospitals, the deceased, and merges by name alone."""
+    line = lambda s="": F.concat_ws(" | ", F.col(f"{s}entity").cast("string"), F.col(f"{s}display_name"), F.array_join(f"{s}cis", ","), F.array_join(f"{s}sources", ","), F.col(f"{s}n_records").cast("string"))
+    n = lambda c: F.count_if(c)
+    alone = F.col("only_name_merge") & (F.col("n_records") > 1) if "only_name_merge" in entities.columns else F.lit(False)
+    e, x, y = entities, entities.alias("x"), entities.alias("y")
+    p = pairs.join(x, F.col("a") == F.col("x.entity")).join(y, F.col("b") == F.col("y.entity"))
+    some = lambda kind: F.exists("x.cis", lambda c: F.exists("y.cis", lambda d: ids.relation(c, d) == kind))
+    why = F.when((F.size("x.cis") == 0) | (F.size("y.cis") == 0), "missing").when(some("equal"), "equal").when(some("flip"), "flip").otherwise("diff")
+    p = p.select(different_numbers("x.cis", "y.cis").alias("different"), F.concat(line("x."), F.lit(" ~ "), line("y."), F.lit(" | "), why, F.lit(" "), F.round(sequence_ratio(F.col("x.name_key"), F.col("y.name_key")), 3).cast("string")).alias("line"))
+    counts = e.agg(F.count(F.lit(1)).alias("entities"), n(F.size("sources") > 1).alias("cross_source"), n(F.size("hospitals") > 1).alias("several_hospitals"), n("ci_conflict").alias("ci_conflict"), n("deceased").alias("deceased"), n(alone).alias("name_only"))
+    counts = counts.crossJoin(p.agg(F.count(F.lit(1)).alias("possible_same"), n("different").alias("possible_same_different")))
+    if records is not None:
+        counts = counts.crossJoin(records.agg(F.count(F.lit(1)).alias("records")))
+    out = counts.select(F.lit("1 counts").alias("section"), F.to_json(F.struct("*")).alias("line"))
+    part = lambda name, rows: rows.select(F.lit(name).alias("section"), "line")
+    of = lambda name, cond: part(name, e.filter(cond).withColumn("line", line()))
+    for rows in (of("2 ci_conflict", F.col("ci_conflict")), part("3 different numbers", p.filter("different")), part("4 possible_same", p.filter("not different")), of("5 several_hospitals", F.size("hospitals") > 1), of("6 deceased", F.col("deceased")), of("7 name_only", alone)):
+        out = out.union(rows)
     return out

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from cairn.functions import fields, ids
 from cairn.functions import text as T
 from cairn.functions.geo import haversine_km, inside
-from cairn.operators import centers, geo, households, registry, resolve, review, search
+from cairn.functions.register import register
+from cairn.operators import centers, federated, geo, households, registry, resolve, review, search
 from cairn.plans.question import answer
 from cairn.session import table
 from cairn.sources import readers
@@ -67,7 +68,7 @@ def name_key_parts(spark, sf):
 _FACILITY_OF = ["Hosp. Perez Carreño", "clinica El Llanito", "VARGAS DE LA GUAIRA", "Jose Maria Vargas, La Guaira", "h.u.c.", "Hospital Universitario", "Cruz  Roja", "Niños J.M. de los Ríos", "plaza"]
 
 
-@query(rf"""with t as (select p_partkey, {_FACILITY_OF}[cast(p_partkey % 9 as integer) + 1] raw from part), f as (select *, {UPPER.format('raw')} u from t)
+@query(rf"""with t as (select p_partkey, p_name || ' ' || {_FACILITY_OF}[cast(p_partkey % 9 as integer) + 1] || ' ' || p_type raw from part), f as (select *, {UPPER.format('raw')} u from t)
 select p_partkey, raw, case
   when regexp_matches(u, 'PEREZ CARRENNO|PEREZ CARRENO') then 'Hospital Pérez Carreño' when regexp_matches(u, 'LLANITO|LUCIANI') then 'Hospital Domingo Luciani (El Llanito)'
   when regexp_matches(u, 'VARGAS LA GUAIRA|JOSE MARIA VARGAS') then 'Hospital José María Vargas (La Guaira)' when u like '%VARGAS DE CARACAS%' then 'Hospital Vargas de Caracas'
@@ -75,7 +76,7 @@ select p_partkey, raw, case
   when regexp_matches(u, 'DE NINOS|DE LOS RIOS') then 'Hospital J.M. de los Ríos (Niños)' when u like '%CRUZ ROJA%' then 'Cruz Roja' else '' end as label,
   regexp_matches(raw, '(?i)hosp|hopital|cl[ií]nica|cruz roja|de los rios|de ni[nñ]os|perif[eé]rico') as looks from f""")
 def canonical_label(spark, sf):
-    raw = F.get(F.array(*[F.lit(x) for x in _FACILITY_OF]), (F.col("p_partkey") % 9).cast("int"))
+    raw = F.concat_ws(" ", "p_name", F.get(F.array(*[F.lit(x) for x in _FACILITY_OF]), (F.col("p_partkey") % 9).cast("int")), "p_type")
     return table(spark, sf, "part").select("p_partkey", raw.alias("raw")).select("p_partkey", "raw", fields.canonical_facility("raw").alias("label"), fields.looks_like_facility("raw").alias("looks"))
 
 
@@ -93,7 +94,18 @@ def uid_hash_orders(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", ids.derive_uid(uid, obs, "o_custkey", "o_orderstatus", "o_orderpriority").alias("uid"))
 
 
-@query()
+_DIGITS = r"[0-9]"
+#: The engine has no look-around: every character that isn't a digit or a dot is doubled, so that one of it ends a match and one starts the next.
+_FOUND = r"""list_filter(list_transform(regexp_extract_all(regexp_replace({0}, '([^0-9.])', '\1\1', 'g'), '(^|[^0-9.])((VV|vv|EE|ee)?(--|\s\s)?)?([0-9]{{1,2}}(\.|\s\s)?[0-9]{{3}}(\.|\s\s)?[0-9]{{3}}|[0-9]{{6,9}})($|[^0-9.])', 5),
+  lambda m: regexp_replace(m, '[^0-9]', '', 'g')), lambda d: length(d) between 6 and 9)"""
+
+
+def _first_seen(items: str) -> str:
+    """Distinct items in the order of their first occurrence."""
+    return f"list_filter({items}, lambda x, i: list_position({items}, x) = i)"
+
+
+@query(f"with f as (select doc_id, {_FOUND.format('text')} l from documents) select doc_id, array_to_string({_first_seen('l')}, ',') as found from f where len(l) > 0")
 def find_ids_documents(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", ids.find_ids("text").alias("found"))
     return d.filter(F.size("found") > 0).select("doc_id", F.array_join("found", ",").alias("found"))
@@ -115,7 +127,21 @@ def spelling_variants_parts(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.array_join(T.spelling_variants(F.split("p_name", " ")[0]), ",").alias("spellings"))
 
 
-@query()
+def _respell(t: str) -> str:
+    swaps = "".join(f", case when contains({t},'{a}') then replace({t},'{a}','{b}') end" for a, b in (("v", "b"), ("b", "v"), ("s", "z"), ("z", "s"), ("y", "i"), ("j", "g"), ("ll", "y"), ("rr", "r")))
+    return f"list_sort(list_distinct(list_filter([{t}, case when {t} like 'h%' then substr({t}, 2) when {t}[1] in ('a','e','i','o','u') then 'h' || {t} end{swaps}], lambda s: s is not null and length(s) > 1)))"
+
+
+_DOTTED = "case length(ci) when 8 then substr(ci, 1, 2) || '.' || substr(ci, 3, 3) || '.' || substr(ci, 6) when 4 then substr(ci, 1, 1) || '.' || substr(ci, 2) else ci end"
+
+
+@query(f"""with {ctes('person_records')}, w as (select record_id, ci, {_DOTTED} p, display_name x, string_split(display_name, ' ') w, name_key from person_records), l as (select *, len(w) n, lower(w[-1]) la, lower(w[-2]) lb from w),
+v as (select *, list_filter([x] || case when n >= 3 then [array_to_string(w[1:n-2] || [w[-1], w[-2]], ' ')] else [] end || list_transform({_respell('la')}, lambda s: array_to_string(w[1:n-1] || [s], ' '))
+   || case when n > 1 then list_transform({_respell('lb')}, lambda s: array_to_string(w[1:n-2] || [s, w[-1]], ' ')) else [] end, lambda s: s <> '') every from l),
+d as (select *, {_first_seen('every')} names from v),
+t as (select *, (case when ci = '' then [] else [ci, p, 'V-' || p, 'V' || ci, 'V-' || ci] end) || (case when len(string_split(name_key, ' ')) >= 2 then names[1:5] else [] end) a,
+  (case when ci = '' then [] else [ci, p, 'V-' || p] end) || names[1:10] || [w[1] || ' Mora Rojas', w[1] || ' Mora', w[1] || ' Rojas', 'Ana Mora Luz'] b from d)
+select record_id, array_to_string(names[1:10], ',') as variants, array_to_string({_first_seen('a')}, ',') as asked, array_to_string(({_first_seen('b')})[1:16], ',') as terms from t""")
 def name_variants_persons(spark, sf):
     v = view(spark, sf, "person_records")
     terms = ids.search_terms("ci", "display_name", F.lit("Ana Mora Luz"), F.lit("Eva Rojas Paz"))
@@ -125,13 +151,13 @@ def name_variants_persons(spark, sf):
 _AGES = ["39", "3 MESES", "9 M", "40 AÑOS", "", "s/n", "UN MES 2", "101 años"]
 
 
-@query(rf"""with t as (select event_id, {_AGES}[cast(event_id % 8 as integer) + 1] raw from events), f as (select *, {UPPER.format('raw')} u from t), v as (select *, coalesce(regexp_extract(u, '(\d{{1,3}})', 1), '') v from f)
-select event_id, v as age, case when v = '' then '' when regexp_matches(u, 'MESES|\bMES\b') then 'months' when contains(u, 'ANO') then 'years' else '' end as unit,
+@query(rf"""with t as (select doc_id, {_AGES}[cast(doc_id % 8 as integer) + 1] || ' ' || text raw from documents), f as (select *, {UPPER.format('raw')} u from t), v as (select *, coalesce(regexp_extract(u, '(\d{{1,3}})', 1), '') v from f)
+select doc_id, v as age, case when v = '' then '' when regexp_matches(u, 'MESES|\bMES\b') then 'months' when contains(u, 'ANO') then 'years' else '' end as unit,
   case when v <> '' and regexp_matches(u, 'MESES|\bMES\b') then 0 when v <> '' then cast(v as integer) end as years from v""")
 def parse_ages(spark, sf):
-    raw = F.get(F.array(*[F.lit(x) for x in _AGES]), (F.col("event_id") % 8).cast("int"))
-    a = table(spark, sf, "events").select("event_id", fields.age(raw).alias("a"))
-    return a.select("event_id", F.col("a.value").alias("age"), F.col("a.unit").alias("unit"), fields.age_years("a.value", "a.unit").alias("years"))
+    raw = F.concat_ws(" ", F.get(F.array(*[F.lit(x) for x in _AGES]), (F.col("doc_id") % 8).cast("int")), "text")
+    a = table(spark, sf, "documents").select("doc_id", fields.age(raw).alias("a"))
+    return a.select("doc_id", F.col("a.value").alias("age"), F.col("a.unit").alias("unit"), fields.age_years("a.value", "a.unit").alias("years"))
 
 
 # ---------------------------------------------------------------- statuses, labels, JSON
@@ -139,24 +165,24 @@ def parse_ages(spark, sf):
 _SAID = ["Desaparecida", "buscando a", "sin localizar", "Localizada", "a salvo", "FALLECIDO", "Ingresado ayer", "otro"]
 
 
-@query(f"""with t as (select event_id, lower({_SAID}[cast(event_id % 8 as integer) + 1]) s from events)
-select event_id, case when regexp_matches(s, 'desaparecid|buscando|localizar') then 'por_localizar' when regexp_matches(s, 'localizad|encontrad|salvo') then 'localizado'
+@query(f"""with t as (select conv_id, turn, role, lower({_SAID}[cast((conv_id + turn) % 8 as integer) + 1] || ' ' || text) s from conversations)
+select conv_id, turn, role, case when regexp_matches(s, 'desaparecid|buscando|localizar') then 'por_localizar' when regexp_matches(s, 'localizad|encontrad|salvo') then 'localizado'
   when regexp_matches(s, 'fallecid|muert') then 'fallecido' when regexp_matches(s, 'ingres|hospital') then 'ingresado' else s end as status from t""")
 def status_case_events(spark, sf):
-    raw = F.get(F.array(*[F.lit(x) for x in _SAID]), (F.col("event_id") % 8).cast("int"))
-    return table(spark, sf, "events").select("event_id", fields.status(raw).alias("status"))
+    raw = F.concat_ws(" ", F.get(F.array(*[F.lit(x) for x in _SAID]), ((F.col("conv_id") + F.col("turn")) % 8).cast("int")), "text")
+    return table(spark, sf, "conversations").select("conv_id", "turn", "role", fields.status(raw).alias("status"))
 
 
 _STATUS_OF = "case event_id % 7 when 0 then 'por_localizar' when 1 then 'localizado' when 2 then 'ingresado' when 3 then 'herido' when 4 then 'alta' when 5 then 'fallecido' else 'albergado' end"
 
 
-@query(f"""with s as (select user_id, list(distinct st) l, min(st) least from (select user_id, {_STATUS_OF} st from events where value > 50) group by user_id)
+@query(f"""with s as (select user_id, list(distinct st) l, min(st) least from (select user_id, {_STATUS_OF} st from events) group by user_id)
 select user_id, case when list_contains(l,'fallecido') then 'fallecido' when list_contains(l,'ingresado') then 'ingresado' when list_contains(l,'herido') then 'herido' when list_contains(l,'localizado') then 'localizado'
   when list_contains(l,'alta') then 'alta' when list_contains(l,'por_localizar') then 'por_localizar' else least end as status,
   case when list_contains(l,'fallecido') then 'fallecido/a' when list_contains(l,'ingresado') then 'ingresado/a en un hospital' when list_contains(l,'herido') then 'herido/a' when list_contains(l,'albergado') then 'en un refugio'
   when list_contains(l,'alta') then 'dado/a de alta' when list_contains(l,'localizado') then 'localizado/a' else 'por localizar' end as said from s""")
 def primary_status(spark, sf):
-    e = table(spark, sf, "events").filter("value > 50").select("user_id", F.expr(_STATUS_OF).alias("st"))
+    e = table(spark, sf, "events").select("user_id", F.expr(_STATUS_OF).alias("st"))
     g = e.groupBy("user_id").agg(F.array_sort(F.collect_set("st")).alias("l"))
     return g.select("user_id", fields.primary_status("l").alias("status"), fields.status_in_words("l").alias("said"))
 
@@ -170,11 +196,11 @@ def json_prop_events(spark, sf):
 _NEED_WORDS = ["Agua y comida", "pañales, leche", "Jabón; toallas sanitarias", "ROPA de abrigo", "planta eléctrica", "nada", "colchones y cobijas para bebés", "medicinas / gasas"]
 
 
-@query(rf"""with t as (select p_partkey, {LOWER.format(f'{_NEED_WORDS}[cast(p_partkey % 8 as integer) + 1]')} s from part)
-select p_partkey, array_to_string(list_filter([{', '.join(f"case when regexp_matches(s, '{'|'.join(w)}') then '{tag}' end" for tag, w in fields.NEEDS)}], lambda x: x is not null), ',') as tags from t""")
+@query(rf"""with t as (select doc_id, {LOWER.format(f"{_NEED_WORDS}[cast(doc_id % 8 as integer) + 1] || ' ' || text")} s from documents)
+select doc_id, array_to_string(list_filter([{', '.join(f"case when regexp_matches(s, '{'|'.join(w)}') then '{tag}' end" for tag, w in fields.NEEDS)}], lambda x: x is not null), ',') as tags from t""")
 def multi_label_tags(spark, sf):
-    raw = F.get(F.array(*[F.lit(x) for x in _NEED_WORDS]), (F.col("p_partkey") % 8).cast("int"))
-    return table(spark, sf, "part").select("p_partkey", F.array_join(fields.needs_tags(raw), ",").alias("tags"))
+    raw = F.concat_ws(" ", F.get(F.array(*[F.lit(x) for x in _NEED_WORDS]), (F.col("doc_id") % 8).cast("int")), "text")
+    return table(spark, sf, "documents").select("doc_id", F.array_join(fields.needs_tags(raw), ",").alias("tags"))
 
 
 @query("""select doc_id, array_to_string(list_filter([case when contains(s, 'thion') then 'a' end, case when contains(s, 'ungch') or contains(s, 'keitsch') then 'b' end, case when contains(s, 'the ') then 'c' end], lambda x: x is not null), ',') as tags
@@ -199,9 +225,9 @@ def page_extract(spark, sf):
 
 # ---------------------------------------------------------------- windows, nesting
 
-@query("""select conv_id, turn, last_value(case when role = 'system' then text when turn % 3 = 1 then substr(text, 1, 12) end ignore nulls) over (partition by conv_id order by turn rows unbounded preceding) as section from conversations""")
+@query("""select conv_id, turn, last_value(case when role = 'system' then text when turn % 3 = 1 then text end ignore nulls) over (partition by conv_id order by turn rows unbounded preceding) as section from conversations""")
 def forward_fill_sections(spark, sf):
-    head = F.when(F.col("role") == "system", F.col("text")).when(F.col("turn") % 3 == 1, F.substring("text", 1, 12))
+    head = F.when(F.col("role") == "system", F.col("text")).when(F.col("turn") % 3 == 1, F.col("text"))
     return table(spark, sf, "conversations").select("conv_id", "turn", readers.forward_fill(head, "conv_id", "turn").alias("section"))
 
 
@@ -352,10 +378,11 @@ def merge_last_nonempty(spark, sf):
     return centers.merge_last(e, "user_id", "event_id", ["a"], ["b"])
 
 
-@query("select event_id, case when event_id % 2 = 0 then 'new' else event_type end as what from events where event_id % 3 = 0 or event_id % 2 = 0")
+@query("select coalesce(n.k, o.k) as k, coalesce(n.what, o.what) as what from (select o_custkey k, count(*) || ' orders' what from orders group by o_custkey) n full join (select c_custkey k, c_mktsegment what from customer) o on n.k = o.k")
 def merge_by_id(spark, sf):
-    e = table(spark, sf, "events")
-    return centers.merge_by_id(e.filter("event_id % 3 = 0").select("event_id", F.col("event_type").alias("what")), e.filter("event_id % 2 = 0").select("event_id", F.lit("new").alias("what")), "event_id")
+    old = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("what"))
+    new = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.concat(F.count(F.lit(1)).cast("string"), F.lit(" orders")).alias("what"))
+    return centers.merge_by_id(old, new, "k")
 
 
 @query("""select o_custkey, o_orderpriority from (select *, row_number() over (partition by o_custkey order by n desc, first) r from (select o_custkey, o_orderpriority, count(*) n, min(o_orderkey) first from orders group by all)) where r = 1""")
@@ -408,7 +435,28 @@ def er_components(spark, sf):
     return resolve.components(m.select(F.col("i").alias("a"), F.col("j").alias("b")))
 
 
-@query()
+_SOME = "coalesce(array_to_string(list_sort(list(distinct {0}) filter ({0} <> '')), ','), '')"
+_QUOTED = """coalesce('"' || array_to_string(list_sort(list(distinct {0}) filter ({0} <> '')), '","') || '"', '')"""
+
+
+@query(f"""with recursive {_REASONS}, links as materialized (select i a, j b from verdict where reason not in ('', 'common_name_needs_strong_id')), {REACH},
+lab as materialized (select p.record_id, ci, coalesce(root, p.record_id) root from person_records p left join roots on id = p.record_id),
+seq as materialized (select root, record_id, ci, row_number() over (partition by root order by record_id) rn from lab where ci <> '' and root in (select root from lab where ci <> '' group by root having count(*) > 1)),
+walk(root, rn, record_id, held, b) as (
+  select root, rn, record_id, [[ci]], cast(1 as bigint) from seq where rn = 1
+  union all
+  select root, rn, record_id, case when f is null then list_append(held, [ci]) else list_transform(held, lambda h, k: case when k = f then list_append(h, ci) else h end) end, coalesce(f, len(held) + 1)
+  from (select s.root, s.rn, s.record_id, s.ci, w.held, list_position(list_transform(w.held, lambda h: len(list_filter(h, lambda x: {_RELATION.format(a='s.ci', b='x')} not in ('equal', 'flip'))) = 0), true) f
+        from walk w join seq s on s.root = w.root and s.rn = w.rn + 1)
+), most as (select root, max(len(held)) k from walk group by root),
+ent as (select record_id, case when coalesce(k, 1) <= 1 then min(record_id) over (partition by root) else min(record_id) over (partition by root, coalesce(b, 0)) end entity
+  from lab left join (select root r1, record_id i1, b from walk) on r1 = root and i1 = record_id left join (select root r2, k from most) on r2 = root),
+r as (select e.entity, p.* from ent e join person_records p on p.record_id = e.record_id),
+shown as (select entity, string_split(display_name, ' ') w from (select entity, display_name, row_number() over (partition by entity order by count(*) desc, min(record_id)) k from r group by entity, display_name) where k = 1),
+g as (select entity, min(name_key) nk, coalesce(min(ci) filter (ci <> ''), '') primary_ci, coalesce(min(age) filter (age <> ''), '') age, {', '.join(f"{_SOME.format(c)} {n}" for c, n in (("ci", "cis"), ("age", "ages"), ("hospital", "hospitals"), ("origin", "origins"), ("status", "statuses"), ("source", "sources")))},
+  bool_or(status = 'fallecido') deceased, count(*) n_records, count(distinct ci) filter (ci <> '') > 1 ci_conflict, {_QUOTED.format('ci')} q_ci, {_QUOTED.format('source')} q_source from r group by entity)
+select entity, array_to_string(list_filter(w, lambda x, i: i = 1 or upper(x) <> upper(w[i - 1])), ' ') as display_name, primary_ci, age, cis, ages, hospitals, origins, statuses, sources, deceased, n_records, ci_conflict,
+  sha256('{{"name_key":"' || nk || '","cis":[' || q_ci || '],"sources":[' || q_source || ']}}') as entity_hash from g join shown using (entity)""")
 def er_clusters(spark, sf):
     r = view(spark, sf, "person_records")
     e = resolve.resolve(r)
@@ -539,10 +587,10 @@ def due_sources(spark, sf):
     return registry.due(s, st, F.lit("2024-01-31 00:00:00").cast("timestamp"))
 
 
-@query("""with h as (select user_id identity, event_type source, cast(event_id % 4 as integer) variant, event_id from events where value > 80)
+@query("""with h as (select user_id identity, event_type source, cast(event_id % 4 as integer) variant, event_id from events)
 select identity, source, variant, event_id from (select *, min(variant) over (partition by source, identity) m from h) where variant = m""")
 def first_hit_probe(spark, sf):
-    h = table(spark, sf, "events").filter("value > 80").select(F.col("user_id").alias("identity"), F.col("event_type").alias("source"), (F.col("event_id") % 4).cast("int").alias("variant"), "event_id")
+    h = table(spark, sf, "events").select(F.col("user_id").alias("identity"), F.col("event_type").alias("source"), (F.col("event_id") % 4).cast("int").alias("variant"), "event_id")
     return registry.first_hits(h)
 
 
@@ -569,9 +617,119 @@ def tumbling_events(spark, sf):
     return t.select(F.col("since").cast("timestamp_ntz").alias("since"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
-@query()
+_PLAIN = "trim(regexp_replace(display_name, '[^A-Z0-9]+', ' ', 'g'))"
+
+
+@query(f"""with {ctes('person_records')}, x as (select *, {_PLAIN} nm, record_id % 6 = 0 many, origin || ' / ' || hospital place from person_records)
+select cast(record_id as varchar) as uid, nm as full_name, array_to_string(list_sort(list_distinct(list_filter(string_split(nm, ' '), lambda t: t not in ('DE','DEL','DI','LA','LOS','Y')))), ' ') as name_key,
+  case when many then '12345678' else ci end as ci, case when many then '' else age end as age, case when many then '' else 'F' end as sex, place as origin, status from x
+union all select record_id || '#1', 'LUIS MORA', 'LUIS MORA', '9876543', '', '', place, status from x where many""")
 def split_registry_names(spark, sf):
     v = view(spark, sf, "person_records")
     many = F.when(F.col("record_id") % 6 == 0, F.concat("display_name", F.lit(" CI 12.345.678 y Luis Mora V-9876543"))).otherwise(F.col("display_name"))
     rows = v.select(F.col("record_id").alias("id"), many.alias("nombre"), F.col("ci").alias("cedula"), F.col("age").alias("edad"), F.lit("f").alias("genero"), F.col("origin").alias("ciudad"), F.col("hospital").alias("zona"), "status")
     return readers.split_people(rows).select("uid", "full_name", "name_key", "ci", "age", "sex", "origin", "status")
+
+
+# ---------------------------------------------------------------- helpers that other queries don't reach
+
+_CLEAN = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
+
+
+@query(f"""with w as (select doc_id, text, string_split({_CLEAN.format('text')}, ' ') w, string_split({UPPER.format('text')}, ' ') u from documents)
+select doc_id, md5(array_to_string(list_filter(w, lambda x, i: i = 1 or upper(x) <> upper(w[i - 1])), ' ')) as squeezed, cast(len(list_filter(u, lambda t: length(t) >= 4 and t <> 'MIT')) as integer) as telling,
+  cast(least(100000, floor(length(text) / 4e0) + 2 * 1100 + 50) as integer) as tokens from w""")
+def text_helpers_documents(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.md5(T.squeeze_repeats("text")).alias("squeezed"), F.size(geo.distinctive_words("text", ("MIT",))).alias("telling"), T.estimated_tokens("text", 2, 50).alias("tokens"))
+
+
+@query("""with d as (select o_orderkey, o_custkey, o_orderpriority p, o_orderstatus s, day(o_orderdate) d, month(o_orderdate) m, year(o_orderdate) y from orders)
+select o_orderkey, d || '/' || m || '/' || y as noted, lpad(cast(d as varchar), 2, '0') || '/' || lpad(cast(m as varchar), 2, '0') || '/' || y as filed, case when o_custkey % 3 = 0 then 'nm:' || array_to_string(list_sort(list_distinct(string_split('ANA MORA ' || s, ' '))), ' ') else 'ci:' || o_custkey end as identity,
+  case when length(p) > 8 then p else 'abcdefgh' end as longest from d""")
+def record_helpers_orders(spark, sf):
+    o = table(spark, sf, "orders")
+    d, k = F.col("o_orderdate"), F.col("o_custkey")
+    noted = F.concat_ws("", F.lit("visto el "), F.dayofmonth(d), F.lit(" / "), F.month(d), F.lit("/"), F.year(d), F.lit(" tarde"))
+    name = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("IMG-"), F.date_format(d, "yyyyMMdd"), F.lit("-WA.jpg"))).otherwise(F.concat(F.date_format(d, "yyyy-MM-dd"), F.lit(" lista.png")))
+    return o.select("o_orderkey", fields.find_date(noted).alias("noted"), fields.date_of_file(name).alias("filed"), ids.identity(F.when(k % 3 == 0, "").otherwise(k.cast("string")), F.concat(F.lit("Mora de Ana "), "o_orderstatus")).alias("identity"),
+                    T.longest_spelling(F.concat(F.lit("abcdefgh / "), "o_orderpriority", F.lit(" / x"))).alias("longest"))
+
+
+@query("""with l as (select p_partkey, list_distinct(string_split(p_name, ' ')) a, list_distinct(string_split(lower(p_name || ' ' || p_type), ' ')) b from part), s as (select *, len(list_intersect(a, b)) n from l)
+select p_partkey, round(n / len(list_distinct(a || b)), 6) as jaccard, round(n / greatest(1, least(len(a), len(b))), 6) as overlap, case when p_partkey % 4 = 0 then 0 else len(a) end as listed, case when p_partkey % 4 = 0 then len(b) else len(list_distinct(a || b)) end as merged from s""")
+def list_helpers_parts(spark, sf):
+    a, b = F.array_distinct(F.split("p_name", " ")), F.array_distinct(F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), " "))
+    noted = F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("["), F.to_json(F.array("p_name")))).otherwise(F.to_json(a))
+    p = table(spark, sf, "part").select("p_partkey", a.alias("a"), b.alias("b"), fields.json_list(noted).alias("l"))
+    return p.select("p_partkey", F.round(fields.jaccard("a", "b"), 6).alias("jaccard"), F.round(fields.overlap("a", "b"), 6).alias("overlap"), F.size("l").cast("long").alias("listed"), F.size(fields.merge_lists("l", F.concat("b", F.array(F.lit(""), F.lit(None).cast("string"))))).cast("long").alias("merged"))
+
+
+@query(f"""with {ctes('centers_v')} select center_id, ctype, status, confirmations from (select center_id, name, municipality, address, 'acopio' ctype, 'active' status, cast(center_id = 12 as integer) confirmations from centers_v)
+where contains(lower(municipality), 'brand#1') and contains(lower(name), 'annex') and address <> '' order by center_id limit 100""")
+def center_search(spark, sf):
+    v = view(spark, sf, "centers_v").withColumn("needs", F.lit("agua")).withColumn("ctype", F.lit(""))
+    c = centers.confirm(centers.enrich(v).withColumn("last_confirmed", F.lit(None).cast("timestamp")), F.lit(12), F.lit(NOW).cast("timestamp"))
+    return centers.search(c.filter("address <> ''"), q="Annex", municipality="BRAND#1", need="agua", status="active", ctype="acopio").select("center_id", "ctype", "status", "confirmations")
+
+
+@query(f"""with {_PEOPLE} select p.entity, p.primary_ci, count(*) as records, min(r.record_id) as first from people p join person_records r on p.entity = cast(floor(r.record_id / 4e0) as bigint)
+where p.entity = (select min(entity) from people where list_contains(cis, '10000014')) group by all""")
+def person_by_number(spark, sf):
+    r = view(spark, sf, "person_records").withColumn("entity", F.floor(F.col("record_id") / 4).cast("long"))
+    one = search.person_by_id(_people(spark, sf), r, "10.000.014")
+    return one.select("entity", "primary_ci", F.size("records").cast("long").alias("records"), F.get("records", F.lit(0))["record_id"].alias("first"))
+
+
+@query(f"with {_PEOPLE} select entity, n_records from people where ci_conflict or (entity % 3 = 0 and n_records > 1) order by n_records desc, entity limit 200")
+def review_queue(spark, sf):
+    return search.review_queue(_people(spark, sf).withColumn("only_name_merge", F.col("entity") % 3 == 0), 200).select("entity", "n_records")
+
+
+@query(f"""with {ctes('person_records')}, {_ZONES} select origin, count(*) as n from person_records where not exists (select 1 from zones where contains(lower(origin), zone)) group by origin order by n desc, origin limit 45""")
+def origin_audit(spark, sf):
+    r = view(spark, sf, "person_records").select(F.col("record_id").alias("id"), F.lit(0).alias("pos"), "origin")
+    return registry.audit(r.join(geo.zones_found(r, _zones(spark, sf)).select("id", "lat"), "id", "left"))
+
+
+@query("select source as video, min(doc_id) as t from documents group by source, text")
+def distinct_frames_documents(spark, sf):
+    return readers.distinct_frames(table(spark, sf, "documents").select(F.col("source").alias("video"), F.col("doc_id").alias("t"), "text")).select("video", "t")
+
+
+@query(f"""with {_PEOPLE}, p as (select x.entity a, y.entity b, x.cis ca, y.cis cb from people x join people y on y.entity = x.entity + 1),
+k as (select a, b, list_filter(ca, lambda c: c is not null) ca, list_filter(cb, lambda c: c is not null) cb from p),
+f as (select a, b, ca, cb, list_transform(flatten(list_transform(ca, lambda c: list_transform(cb, lambda d: [c, d]))), lambda z: {_RELATION.format(a='z[1]', b='z[2]')}) r from k)
+select a, b, case when len(ca) = 0 or len(cb) = 0 then 'missing' when list_contains(r, 'equal') then 'equal' when list_contains(r, 'flip') then 'flip' else 'diff' end as relation, len(ca) > 0 and len(cb) > 0 and len(list_intersect(ca, cb)) = 0 as different from f""")
+def relation_labels(spark, sf):
+    p = _people(spark, sf)
+    x, y = p.select(F.col("entity").alias("a"), F.col("cis").alias("cis_a")), p.select(F.col("entity").alias("b"), F.col("cis").alias("cis_b"))
+    pairs = x.join(y.withColumn("a", F.col("b") - 1), "a")
+    return review.relation_summary(pairs).select("a", "b", "relation", review.different_numbers("cis_a", "cis_b").alias("different"))
+
+
+@query(f"""with {ctes('person_records')} select printf('P%05d', row_number() over (order by name_key, record_id)) as person_id, record_id from person_records""")
+def numbered_persons(spark, sf):
+    return resolve.numbered(view(spark, sf, "person_records").select("name_key", F.col("record_id").alias("entity"))).select("person_id", F.col("entity").alias("record_id"))
+
+
+@query(f"""with {ctes('person_records')}, p as (select x.record_id, x.display_name, x.ci a, y.ci b from person_records x join person_records y on y.record_id = x.record_id + 1)
+select record_id, {UPPER.format("display_name || ' de la Peña'")} as folded, array_to_string(list_sort(list_distinct(list_filter(string_split({UPPER.format("display_name || ' de la Peña'")}, ' '), lambda t: t not in ('DE','DEL','DI','LA','LOS','Y')))), ' ') as name_key,
+  {_RELATION.format(a='a', b='b')} as relation, round({KM.format('10.0e0', '-66.0e0', '(10.0e0 + record_id / 1000e0)', '-66.5e0')}, 3) as km from p""")
+def sql_functions_persons(spark, sf):
+    register(spark)
+    v = view(spark, sf, "person_records")
+    p = v.select("record_id", "display_name", F.col("ci").alias("a")).join(v.select((F.col("record_id") - 1).alias("record_id"), F.col("ci").alias("b")), "record_id")
+    return spark.sql("""select record_id, fold(concat(display_name, ' de la Peña')) folded, name_key(concat(display_name, ' de la Peña')) name_key, ci_relation(a, b) relation,
+      round(haversine_km(10.0e0, -66.0e0, 10.0e0 + record_id / 1000e0, -66.5e0), 3) km from {p}""", p=p)
+
+
+@query(f"""with {ctes('centers_v')}, k as (select *, lower(name || '|' || municipality) ckey from centers_v), old as (select min(center_id) center_id, ckey, coalesce(min_by(address, center_id) filter (address <> ''), '') address from k where center_id % 2 = 0 group by ckey),
+new as (select ckey, coalesce(max_by('nueva ' || phone, center_id) filter (phone <> ''), '') address from k where center_id % 3 = 0 group by ckey)
+select o.center_id, coalesce(o.ckey, n.ckey) as ckey, coalesce(nullif(n.address, ''), o.address, '') as address, case when n.ckey is not null then 'active' else 'old' end as status, n.ckey is not null as confirmed from old o full join new n on o.ckey = n.ckey""")
+def center_refresh(spark, sf):
+    v = view(spark, sf, "centers_v").withColumn("_at", F.col("center_id")).withColumn("ckey", centers.key())
+    old = centers.merge_last(v.filter("center_id % 2 = 0"), "ckey", "_at", [], ["name", "municipality", "address"]).join(v.filter("center_id % 2 = 0").groupBy("ckey").agg(F.min("center_id").alias("center_id")), "ckey")
+    old = old.select("center_id", "name", "municipality", "address", *[F.lit("").alias(c) for c in ("source", "url", "operator", "ctype", "hours", "needs", "phone")], F.array().cast("array<string>").alias("needs_tags"), F.lit("old").alias("status"), F.lit(None).cast("timestamp").alias("last_confirmed"))
+    seen = v.filter("center_id % 3 = 0").orderBy("center_id").select("name", "municipality", F.when(F.col("phone") != "", F.concat(F.lit("nueva "), "phone")).otherwise("").alias("address"), F.lit("").alias("hours"), F.lit("").alias("needs"), F.lit("").alias("phone"))
+    out = federated.refresh(old, seen, F.lit(NOW).cast("timestamp"))
+    return out.select("center_id", centers.key().alias("ckey"), "address", "status", F.col("last_confirmed").isNotNull().alias("confirmed"))

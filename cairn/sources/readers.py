@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import time
 from collections.abc import Callable, Iterator
 
@@ -228,6 +229,54 @@ def split_people(rows: DataFrame) -> DataFrame:
                         status=fields.status(F.coalesce("status", F.lit("buscando"))), obs=F.concat(F.lit("id="), "uid"), row_raw=F.substring("zona", 1, 120))
 
 
+SOURCE = "id string, kind string, path string, urls array<string>, statuses array<string>, refresh_url string, entity string, cadence_min int, enabled boolean, notes string"
+
+
+def source_list(text: str) -> list[dict]:
+    """The entries of a source registry in YAML: a list of flat maps whose values are scalars or lists."""
+
+    def scalar(v: str):
+        v = v.strip()
+        if v[:1] in "\"'" and v[-1:] == v[:1] and len(v) > 1:
+            return v[1:-1]
+        v = re.sub(r"\s+#.*$", "", v)
+        return {"true": True, "false": False, "null": None, "~": None, "": None}.get(v.lower(), int(v) if re.fullmatch(r"-?\d+", v) else v)
+
+    out: list[dict] = []
+    name, deep = None, 0
+    for line in text.splitlines():
+        body = line.strip()
+        indent = len(line) - len(line.lstrip())
+        if not body or body.startswith("#"):
+            continue
+        if body.startswith("- ") and name and indent > deep:  # an item of a list value
+            out[-1][name] = [*(out[-1][name] or []), scalar(body[2:])]
+            continue
+        if body.startswith("- "):
+            out.append({})
+            body, indent = body[2:].strip(), indent + 2
+        key, colon, value = body.partition(":")
+        if not colon or not out:
+            continue
+        name, deep, value = key.strip(), indent, value.strip()
+        items = re.sub(r"\s+#.*$", "", value)
+        out[-1][name] = [scalar(x) for x in items[1:-1].split(",") if x.strip()] if items[:1] == "[" and items[-1:] == "]" else scalar(value)
+    return out
+
+
+def read_sources(spark: SparkSession, path: str) -> DataFrame:
+    """The source registry (SOURCE) of a YAML or JSON file, a small dimension; sources are enabled unless they say no."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], SOURCE)
+    text = spark.read.text(path, wholetext=True).first()[0]
+    entries = json.loads(text) if text.lstrip()[:1] in "[{" else source_list(text)
+    entries = entries.get("sources", []) if isinstance(entries, dict) else entries
+    names = [c.split()[0] for c in SOURCE.split(", ")]
+    listed = lambda v: v if isinstance(v, list) or v is None else [v]
+    rows = [tuple(listed(e.get(c)) if c in ("urls", "statuses") else e.get(c) for c in names) for e in entries]
+    return spark.createDataFrame(rows, SOURCE).withColumn("enabled", F.coalesce("enabled", F.lit(True)))
+
+
 class RegistrySource(DataSource):
     """``spark.read.format("registry")``: pages of a registry API, a partition for each status.
 

@@ -116,6 +116,41 @@ def test_micro_batches_are_idempotent(spark, tmp_path):
     assert maintain.persons(snaps.read()).count() == 2
 
 
+def people_of(store):
+    groups = {}
+    for r in store.collect():
+        groups.setdefault(r["person"], set()).add(r["uid"])
+    return sorted(map(sorted, groups.values()))
+
+
+def test_stream_of_three_batches(spark, tmp_path):
+    """The same persons whether batches are followed, replayed or compacted; a batch reads only the buckets of its keys."""
+    rows = [
+        [(1, "s", "u1", "ANA MORA PAZ", "12345670", "por_localizar"), (2, "s", "u2", "EVA LUNA SOL", "22222222", "localizado"), (3, "s", "u3", "TEO RIO MAR", "", "herido")],
+        [(4, "s", "u4", "ANA MORA PAZ", "12345671", "localizado"), (5, "s", "u5", "TEO RIO MAR", "", "herido"), (6, "s", "u2", "EVA LUNA SOL", "22222222", "fallecido"), (7, "s", "u6", "LUZ SOLA", "7654321", "alta"), (8, "s", "u7", "LUZ SOLA", "7654321", "alta")],
+        [(9, "t", "u1", "EVA LUNA", "22222222", "localizado"), (0, "s", "u2", "EVA LUNA SOL", "22222222", "localizado"), (10, "s", "u3", "TEO RIOS CAL", "", "alta"), (11, "s", "u8", "OTRO NOMBRE", "", "")],
+    ]
+    folder = tmp_path / "in"
+    for k, batch in enumerate(rows):
+        df = spark.createDataFrame([(i, src, u, n, " ".join(sorted(n.split())), ci, "", st, "", "", None) for i, src, u, n, ci, st in batch], STORE).withColumn("ts", F.timestamp_seconds("record_id"))
+        df.coalesce(1).write.mode("append").parquet(str(folder))
+        time.sleep(0.1)
+    stream = spark.readStream.schema(STORE).option("maxFilesPerTrigger", 1).parquet(str(folder))
+    snaps = maintain.Snapshots(spark, str(tmp_path / "store"), keep=1)
+    maintain.follow(stream, snaps, str(tmp_path / "cp")).awaitTermination(300)
+    store = snaps.read().cache()
+    assert people_of(store) == [["u1", "u2"], ["u1", "u4"], ["u3", "u5"], ["u6", "u7"], ["u8"]]
+    status = {(r["source"], r["uid"]): r["status"] for r in store.collect()}
+    assert status["s", "u2"] == "fallecido" and status["s", "u3"] == "alta" and len(status) == 9
+    assert any(v[0] == "b" for v in snaps._versions())
+    index = snaps._table("index", snaps._live()).cache()
+    count = lambda word: index.filter("kind = 'word'").filter(F.col("key") == word).agg(F.sum("n")).first()[0]
+    assert count("") == 9 and count("MAR") == 1 and count("RIOS") == 1  # a record that changed its name
+    some = snaps._probe(snaps._table("index", snaps._live()), "block", spark.createDataFrame([("NEVA",)], "key string"))
+    assert {r["key"] for r in some.collect()} == {"NEVA"}
+    assert "bucket" in some._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1][:300]
+
+
 ZONES = [("Naiguatá", 10.6, -66.7), ("La Guaira", 10.6, -66.9), ("Los Caracas", 10.65, -66.57), ("Caracas", 10.5, -66.9), ("Ñ", 1.0, 2.0), ("", 0.0, 0.0)]
 
 
