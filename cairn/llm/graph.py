@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 
-OWN, BACK, SEEDS, WIDTH = 8, 12, 4, 3
+OWN, BACK, SEEDS, WIDTH, FULL = 8, 12, 4, 3, 4
 ROTATIONS = 8
 _ID = np.uint64(0xFFFFFFFF)
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -126,7 +126,9 @@ class Graph:
 
     def search(self, q: np.ndarray, ef: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
         """(position in q, neighbour) of every pair found within ``radius``. While all of a beam is
-        within the radius, it may hide more: the beam doubles and walks on."""
+        within the radius, it may hide more: the beam doubles and walks on. In a crowd that fills a beam of FULL
+        times its width, the rest is read off the codes themselves, which costs less than a walk over all of it."""
+        most = FULL * ef
         start = np.concatenate([q[:, None], self.near[q]], 1)
         keys = self._walk(q, _merge(_keys(self.codes, q, start), ef), ef)
         rows, found = [], []
@@ -138,6 +140,11 @@ class Graph:
             rows.append(left[~full][r])
             found.append(((keys[~full][r, c] >> np.uint64(1)) & _ID).astype(np.int64))
             left, keys = left[full], keys[full]
+            if len(left) and ef >= most:
+                i, j = exact(self.codes, q[left], radius)
+                rows.append(left[i])
+                found.append(j)
+                break
             if len(left):
                 ef *= 2
                 parts = []
@@ -166,10 +173,17 @@ def exact(codes: np.ndarray, q: np.ndarray, radius: int) -> tuple[np.ndarray, np
     return np.concatenate(rows), np.concatenate(found)
 
 
-def neighbours(codes: np.ndarray, radius: int, ef: int = 16, audit: int = 64, recall: float = 0.95):
-    """Yield (i, j) arrays of pairs within ``radius`` for every node as a query. A sample of queries is
-    held against exact search; below the wanted recall the beam doubles, and past 8 times its first
-    width the shard is searched exactly."""
+def recall(true: tuple[np.ndarray, np.ndarray], found: tuple[np.ndarray, np.ndarray], n: int) -> float:
+    """Mean over the queries that have neighbours of the part of them that is found."""
+    i, j = true
+    hit = np.isin(i * n + j, found[0] * n + found[1])
+    return float((np.bincount(i, hit) / np.maximum(1, np.bincount(i)))[np.unique(i)].mean())
+
+
+def neighbours(codes: np.ndarray, radius: int, ef: int = 16, audit: int = 64, least: float = 0.95):
+    """Yield (i, j) arrays of pairs within ``radius`` for every node as a query. Sampled queries are held
+    against exact search, more of them until ``audit`` have a neighbour or all are drawn; below the wanted recall
+    the beam doubles, and past 8 times its first width the shard is searched exactly."""
     n = len(codes)
     if n < 2:
         return
@@ -177,13 +191,16 @@ def neighbours(codes: np.ndarray, radius: int, ef: int = 16, audit: int = 64, re
         yield exact(codes, np.arange(n), radius)
         return
     g = Graph(codes)
-    sample = np.unique(np.linspace(0, n - 1, audit).astype(np.int64))
-    ti, tj = exact(codes, sample, radius)
-    truth = np.unique(sample[ti] * n + tj)
+    order = np.argsort((np.arange(n) * 2654435761) % (1 << 32), kind="stable")
+    ti, tj, drawn = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+    while drawn < n and len(np.unique(ti)) < audit:
+        more = order[drawn : drawn + 4 * audit]
+        i, j = exact(codes, more, radius)
+        ti, tj, drawn = np.r_[ti, drawn + i], np.r_[tj, j], drawn + len(more)
+    sample = order[:drawn]
     width = ef
-    while len(truth) and width <= 8 * ef:
-        i, j = g.search(sample, width, radius)
-        if np.isin(truth, sample[i] * n + j).mean() >= recall:
+    while len(ti) and width <= 8 * ef:
+        if recall((ti, tj), g.search(sample, width, radius), n) >= least:
             break
         width *= 2
     step = 4096

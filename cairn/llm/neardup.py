@@ -5,7 +5,9 @@
 2. Texts of equal words are one node, the least doc_id of them.
 3. Every node goes to the BANDS shards that its minima select, as a member and as a query. Two nodes of
    Jaccard J miss each other with probability (1-J)**BANDS. (Broadcasting every query to every shard
-   would cost nodes times shards; this way the work of a node doesn't grow with the data.)
+   would cost nodes times shards.) Shards hold about SHARD nodes, however many there are; the nodes of a
+   minimum that over SHARD nodes share are told apart by further minima, up to LEVELS times, and what
+   is still alike then (a template with other words filled in) meets in all pairs of half shards.
 4. In a shard, a navigable small-world graph over Hamming distance finds each query's neighbours within
    RADIUS by beams that expand while they are full; recall is audited against exact search. All pairs whose
    sketches agree are candidates, but those that near certain ones (sketch Jaccard SURE) connect.
@@ -23,6 +25,7 @@ table gives no groups; extra columns of any name pass through.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +35,7 @@ from pyspark.sql import functions as F
 
 from cairn.llm import graph, kernel
 from cairn.operators.graph import components
-from cairn.session import BROADCAST_BYTES, cut
+from cairn.session import BROADCAST_BYTES, bounded, cut
 
 RADIUS = 32
 JACCARD = 0.5
@@ -40,7 +43,8 @@ BANDS = 5
 SKETCH = 64
 #: Three standard deviations of a sketch estimate at JACCARD; the exact check follows.
 MARGIN = 3 * (JACCARD * (1 - JACCARD) / SKETCH) ** 0.5
-SHARD = 200_000
+SHARD, LEVELS = 16_384, 3
+MOST_TASKS = 20_000
 SURE = 0.9
 PORTION, LAST = 2, 128
 SHINGLE = 3
@@ -188,16 +192,63 @@ def _shard_pairs(batches: Iterator[pa.RecordBatch], sure: float) -> Iterator[pa.
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(v, w)), pa.array(np.maximum(v, w)), pa.array(like[keep], pa.float64())], ["a", "b", "like"])
 
 
-def candidate_pairs(nodes: DataFrame, count: int, sure: float = SURE) -> DataFrame:
+MEMBER = ("doc_id", "s1", "s2", "n", "sketch")
+
+
+def _further(level: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members of a minimum ``m`` under BANDS new ones each: minima of their sketch by another hash, one of each residue class."""
+    none = np.uint64(0xFFFFFFFFFFFFFFFF)
+    for b in batches:
+        if not b.num_rows:
+            continue
+        sk = np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint32).reshape(b.num_rows, SKETCH)
+        x = kernel.mix(sk.astype(np.uint64) + np.uint64(level + 1) * _C2)
+        x[sk == 0xFFFFFFFF] = none
+        every = x.min(axis=1)
+        m = b.column("m").to_numpy().view(np.uint64)
+        for band in range(BANDS):
+            own = np.where((x % np.uint64(BANDS) == band) & (x != none), x, none).min(axis=1)
+            own = kernel.mix(m + kernel.mix(np.where(own == none, every, own)))
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in MEMBER], pa.array(own.view(np.int64))], [*MEMBER, "m"])
+
+
+def shards(nodes: DataFrame, size: int = SHARD, levels: int = LEVELS) -> tuple[DataFrame, int]:
+    """(members with their ``shard``, number of shards)."""
+    rows = nodes.select(*MEMBER, F.explode(F.array_distinct("minima")).alias("m"))
+    count, out, made = nodes.count() * BANDS, [], 0
+    for level in range(levels + 1):
+        held = rows.groupBy("m").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > size)
+        hot = cut(held)
+        n, many = hot.agg(F.count(F.lit(1)), F.coalesce(F.sum("c"), F.lit(0))).first()
+        rest = max(1, -(-(count - many) // size))
+        made += rest
+        cold = rows.join(bounded(hot.select("m"), 16), "m", "left_anti") if n else rows
+        out.append(cold.select(*MEMBER, F.xxhash64(F.lit(level), F.pmod(F.xxhash64("m"), F.lit(rest))).alias("shard")))
+        if not n:
+            break
+        rows = rows.join(bounded(hot, 24), "m", "left_semi" if level < levels else "inner")
+        if level < levels:
+            rows = cut(rows.mapInArrow(lambda b, k=level: _further(k, b), "doc_id long, s1 long, s2 long, n int, sketch binary, m long").distinct())
+            count = rows.count()
+        else:  # the node is in half shard i of k; it meets its own and each other half
+            k = F.ceil(F.col("c") * 2 / size).cast("long")
+            rows = rows.withColumn("k", k).withColumn("i", F.pmod(F.xxhash64("doc_id", F.lit(11)), "k"))
+            rows = rows.withColumn("j", F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.col("k") - 1), lambda j: (j != F.col("i")) | (F.col("k") == 1))))
+            out.append(rows.select(*MEMBER, F.xxhash64(F.lit(-1), "m", F.least("i", "j"), F.greatest("i", "j")).alias("shard")))
+            made += int(hot.agg(F.sum(k * k / 2)).first()[0])
+    return reduce(DataFrame.unionByName, out), made
+
+
+def candidate_pairs(nodes: DataFrame, sure: float = SURE, size: int = SHARD, levels: int = LEVELS) -> DataFrame:
     """(a, b, like) of every pair found whose sketches agree, but for those that pairs with a sketch
     Jaccard of at least ``sure`` connect already."""
-    shards = max(12, -(-count * BANDS // SHARD))
-    member = nodes.select("doc_id", "s1", "s2", "n", "sketch", F.explode(F.array_distinct(F.transform("minima", lambda x: F.pmod(F.xxhash64(x), F.lit(shards))))).alias("shard"))
+    member, made = shards(nodes, size, levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _shard_pairs(batches, sure)
 
-    return member.groupBy("shard").applyInArrow(run, "a long, b long, like double").distinct()
+    tasks = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(made, MOST_TASKS))
+    return member.repartition(tasks, "shard").groupBy("shard").applyInArrow(run, "a long, b long, like double").distinct()
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,11 +296,10 @@ def _settled(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 def near_edges(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """Verified edges that connect what the pairs found connect."""
-    count = nodes.count()
-    pairs = cut(candidate_pairs(nodes, count))
+    pairs = cut(candidate_pairs(nodes))
     true = _settled(pairs, docs)
     if not pairs.filter(F.col("like") >= SURE).join(true, ["a", "b"], "left_anti").isEmpty():
-        true = _settled(candidate_pairs(nodes, count, 2.0), docs)  # a sure pair was none: without the short cut
+        true = _settled(candidate_pairs(nodes, 2.0), docs)  # a sure pair was none: without the short cut
     return true
 
 
