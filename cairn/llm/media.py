@@ -8,8 +8,8 @@ frequencies of the cosine transform of the 32x32 grey image: a bit for each abov
 
 Defined results: a null image gives null status; a faulty one a status that names the fault, null hash
 and null sizes; repeated rows are decoded each; an empty table gives an empty one; other columns are
-kept, but those named as a result give way; an image larger than MAX_PIXELS is refused
-as 'too large' (a decompression bomb would end the task otherwise).
+kept, but those named as a result give way. An image is decoded in bands of rows, so its size
+doesn't matter; only one whose single row has more than ROW_BYTES is refused, as 'row too long'.
 """
 
 from __future__ import annotations
@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from cairn.llm import kernel
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
-MAX_PIXELS = 1 << 26
+ROW_BYTES = 64 << 20
+BAND_BYTES = 4 << 20
 CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
 DEPTHS = {0: (1, 2, 4, 8, 16), 2: (8, 16), 3: (1, 2, 4, 8), 4: (8, 16), 6: (8, 16)}
 _ADAM7 = ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2))
@@ -59,10 +60,10 @@ def chunks(data: bytes) -> Iterator[tuple[bytes, bytes]]:
 
 
 class Image:
-    """Header, palette and inflated scanlines of one PNG."""
+    """Header, palette and compressed scanlines of one PNG."""
 
     def __init__(self, data: bytes):
-        self.width = self.height = self.depth = self.colour = None
+        self.width = self.height = self.depth = self.colour = self.fault = None
         palette, idat, ended = None, [], False
         for k, (kind, body) in enumerate(chunks(data)):
             if k == 0:
@@ -71,8 +72,8 @@ class Image:
                 self.width, self.height, self.depth, self.colour, method, filters, self.interlace = struct.unpack(">IIBBBBB", body)
                 if not self.width or not self.height or self.depth not in DEPTHS.get(self.colour, ()) or method or filters or self.interlace > 1:
                     raise Fault("header")
-                if self.width * self.height > MAX_PIXELS:
-                    raise Fault("too large")
+                if self.width * CHANNELS[self.colour] * self.depth // 8 > ROW_BYTES:
+                    raise Fault("row too long")
             elif kind == b"PLTE":
                 if len(body) % 3 or not body:
                     raise Fault("palette")
@@ -93,61 +94,81 @@ class Image:
         self.shapes = [(-(-(self.height - y) // sy), -(-(self.width - x) // sx)) for x, y, sx, sy in self.passes]
         bits = CHANNELS[self.colour] * self.depth
         self.bpp = max(1, bits // 8)
-        want = sum(h * (1 + -(-w * bits // 8)) for h, w in self.shapes)
-        try:
-            z = zlib.decompressobj()
-            raw = z.decompress(b"".join(idat), want + 1)
-            if len(raw) == want and not z.eof:
-                raw += z.decompress(z.unconsumed_tail, 1)
-        except zlib.error:
-            raise Fault("zlib stream") from None
-        if len(raw) != want:
+        self.line = [1 + -(-w * bits // 8) for _, w in self.shapes]
+        self.want = sum(h * n for (h, _), n in zip(self.shapes, self.line))
+        self.idat = idat
+        self.small = self.want <= BAND_BYTES
+        self.lines = [block for _, _, block in self.bands()] if self.small else None
+
+    def bands(self) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(pass, first row, scanlines with their filter bytes), about BAND_BYTES at a time; the stream must hold just these."""
+        z = zlib.decompressobj()
+        pieces = iter(self.idat)
+        held = b""
+
+        def take(n: int) -> bytes:
+            nonlocal held
+            out = []
+            try:
+                while n:
+                    got = z.decompress(held, n)
+                    held = z.unconsumed_tail
+                    if got:
+                        out.append(got)
+                        n -= len(got)
+                    elif z.eof or not held and (held := next(pieces, b"")) == b"":
+                        break
+            except zlib.error:
+                raise Fault("zlib stream") from None
+            return b"".join(out)
+
+        for k, ((h, _), n) in enumerate(zip(self.shapes, self.line)):
+            step = max(1, BAND_BYTES // n) if not self.small else h
+            for y in range(0, h, step):
+                rows = min(step, h - y)
+                raw = take(rows * n)
+                if len(raw) != rows * n:
+                    raise Fault("scanlines")
+                block = np.frombuffer(raw, np.uint8).reshape(rows, n)
+                if block[:, 0].max(initial=0) > 4:
+                    raise Fault("filter type")
+                yield k, y, block
+        if take(1):
             raise Fault("scanlines")
         if not z.eof:
             raise Fault("zlib stream")
-        self.lines = []
-        at = 0
-        for h, w in self.shapes:
-            n = h * (1 + -(-w * bits // 8))
-            block = np.frombuffer(raw, np.uint8, n, at).reshape(h, -1)
-            if block[:, 0].max(initial=0) > 4:
-                raise Fault("filter type")
-            self.lines.append(block)
-            at += n
-
-
-def unfilter(block: np.ndarray, bpp: int) -> np.ndarray:
-    """Scanlines (images, rows, 1 + bytes) without their filters: (images, rows, bytes)."""
+
+
+def unfilter(block: np.ndarray, bpp: int, above: np.ndarray | None = None) -> np.ndarray:
+    """Scanlines (images, rows, 1 + bytes) without their filters: (images, rows, bytes). ``above``: the row before.
+
+    A pixel depends on those to the left, above, and left above: all pixels of one sum of row and column, of
+    all images, are done at once. Rows that only depend on the one above are done whole."""
     n, h, w = block.shape
     w -= 1
-    out = np.zeros((n, h + 1, w + bpp), np.uint8)  # a row above and a pixel to the left, of zeros
-    for y in range(h):
-        kinds, line = block[:, y, 0], block[:, y, 1:]
-        for kind in np.unique(kinds):
-            m = np.flatnonzero(kinds == kind)
-            x, up = line[m], out[m, y]
-            row = np.zeros((len(m), w + bpp), np.uint8)
-            if kind == 0:
-                row[:, bpp:] = x
-            elif kind == 1:
-                for c in range(bpp):
-                    row[:, bpp + c :: bpp] = np.cumsum(x[:, c::bpp], axis=1, dtype=np.uint8)
-            elif kind == 2:
-                row[:, bpp:] = x + up[:, bpp:]
-            else:
-                for p in range(bpp, w + bpp, bpp):
-                    e = min(p + bpp, w + bpp)
-                    a = row[:, p - bpp : e - bpp].astype(np.int16)
-                    b = up[:, p:e].astype(np.int16)
-                    if kind == 3:
-                        guess = (a + b) >> 1
-                    else:
-                        c = up[:, p - bpp : e - bpp].astype(np.int16)
-                        pa_, pb, pc = np.abs(b - c), np.abs(a - c), np.abs(a + b - 2 * c)
-                        guess = np.where((pa_ <= pb) & (pa_ <= pc), a, np.where(pb <= pc, b, c))
-                    row[:, p:e] = (x[:, p - bpp : e - bpp] + guess).astype(np.uint8)
-            out[m, y + 1] = row
-    return out[:, 1:, bpp:]
+    wide = w // bpp
+    # images last: what is done at once lies together
+    out = np.zeros((h + 1, wide + 1, bpp, n), np.uint8)  # a row above and a pixel to the left, of zeros
+    if above is not None:
+        out[0, 1:] = above.reshape(n, wide, bpp).transpose(1, 2, 0)
+    kinds = np.ascontiguousarray(block[:, :, 0].T)
+    line = np.ascontiguousarray(block[:, :, 1:].reshape(n, h, wide, bpp).transpose(1, 2, 3, 0))
+    if kinds.max(initial=0) < 3:
+        for y in range(h):
+            row = np.where(kinds[y] == 1, np.cumsum(line[y], axis=0, dtype=np.uint8), line[y])
+            out[y + 1, 1:] = np.where(kinds[y] == 2, row + out[y, 1:], row)
+    else:
+        sub, up, mean, paeth = ((kinds == k)[:, None] for k in range(1, 5))
+        for t in range(wide + h - 1):
+            y = np.arange(max(0, t - wide + 1), min(h, t + 1))
+            x = t - y
+            a, b, c = out[y + 1, x].astype(np.int16), out[y, x + 1].astype(np.int16), out[y, x].astype(np.int16)
+            da, db = b - c, a - c
+            near_a, near_b, near_c = np.abs(da), np.abs(db), np.abs(da + db)
+            guess = np.where((near_a <= near_b) & (near_a <= near_c), a, np.where(near_b <= near_c, b, c)) * paeth[y]
+            guess += a * sub[y] + b * up[y] + ((a + b) >> 1) * mean[y]
+            out[y + 1, x + 1] = line[y, x] + guess.astype(np.uint8)
+    return np.ascontiguousarray(out[1:, 1:].transpose(3, 0, 1, 2)).reshape(n, h, w)
 
 
 def samples(rows: np.ndarray, width: int, channels: int, depth: int) -> np.ndarray:
@@ -162,37 +183,65 @@ def samples(rows: np.ndarray, width: int, channels: int, depth: int) -> np.ndarr
     return values[:, :, : width * channels].reshape(n, h, width, channels)
 
 
-def grey(images: list[Image]) -> np.ndarray:
-    """(images, height, width) luminance in 0..1 of images of one shape and kind; alpha is over white."""
+def light(values: np.ndarray, images: list[Image]) -> np.ndarray:
+    """(images, rows, width) luminance in 0..1 of samples of images of one kind; alpha is over white. A palette
+    index that the palette lacks is a fault of its image."""
     one = images[0]
-    full = np.zeros((len(images), one.height, one.width, CHANNELS[one.colour]), np.float64)
-    for k, ((x, y, sx, sy), (h, w)) in enumerate(zip(one.passes, one.shapes)):
-        block = unfilter(np.stack([i.lines[k] for i in images]), one.bpp)
-        full[:, y::sy, x::sx] = samples(block, w, CHANNELS[one.colour], one.depth)
     if one.colour == 3:
-        index = full[..., 0].astype(np.int64)
+        index = values[..., 0].astype(np.int64)
+        for k, i in enumerate(images):
+            if index[k].max(initial=0) >= len(i.palette):
+                i.fault = "palette index"
         rgb = np.stack([i.palette[np.minimum(index[k], len(i.palette) - 1)] for k, i in enumerate(images)]) / 255
     else:
-        full /= (1 << one.depth) - 1
-        rgb = full[..., :3] if one.colour in (2, 6) else np.repeat(full[..., :1], 3, axis=3)
-    light = rgb @ np.array([0.299, 0.587, 0.114])
+        full = values / ((1 << one.depth) - 1)
+        rgb = full[..., :3] if one.colour in (2, 6) else full[..., :1]
+    grey = rgb @ np.array([0.299, 0.587, 0.114]) if rgb.shape[-1] == 3 else rgb[..., 0]
     if one.colour in (4, 6):
         a = full[..., -1]
-        light = light * a + (1 - a)
-    return light
+        grey = grey * a + (1 - a)
+    return grey
 
 
-def _area(n: int) -> np.ndarray:
-    """GRID x n matrix that averages n samples into GRID cells by overlap."""
+def _overlap(n: int, at: np.ndarray) -> np.ndarray:
+    """GRID x len(at): what part of each of GRID cells over n samples the samples ``at`` are."""
     edge = np.arange(GRID + 1) * n / GRID
-    k = np.arange(n)
-    over = np.minimum(edge[1:, None], k + 1) - np.maximum(edge[:-1, None], k)
+    over = np.minimum(edge[1:, None], at + 1) - np.maximum(edge[:-1, None], at)
     return np.maximum(over, 0) * GRID / n
 
 
-def cosine_hash(light: np.ndarray) -> list[bytes]:
-    small = _area(light.shape[1]) @ light @ _area(light.shape[2]).T
-    low = np.round((_DCT @ small @ _DCT.T).reshape(len(light), -1), 9)
+def _across(rows: np.ndarray, n: int, at: np.ndarray) -> np.ndarray:
+    """(images, rows, GRID) averages of rows whose samples lie at the columns ``at`` of n."""
+    if len(at) <= 4096:
+        return rows @ _overlap(n, at).T
+    lo = at * GRID // n
+    hi = np.minimum(GRID - 1, (at + 1) * GRID // n)  # a pixel lies in one cell, or in two
+    part = np.clip(hi * n / GRID - at, 0, 1)
+    part[hi == lo] = 1
+    base = np.arange(rows.shape[0] * rows.shape[1])[:, None] * GRID
+    flat = rows.reshape(len(base), -1)
+    size = len(base) * GRID
+    sums = np.bincount((base + lo).ravel(), (flat * part).ravel(), size) + np.bincount((base + hi).ravel(), (flat * (1 - part)).ravel(), size)
+    return sums.reshape(*rows.shape[:2], GRID) * GRID / n
+
+
+def grid(images: list[Image]) -> np.ndarray:
+    """(images, GRID, GRID) averages of the luminance of images of one shape and kind (one at a time, if they are large)."""
+    one = images[0]
+    out = np.zeros((len(images), GRID, GRID))
+    above = None
+    parts = ((k, 0, np.stack([i.lines[k] for i in images])) for k in range(len(one.shapes))) if one.small else ((k, y, b[None]) for k, y, b in one.bands())
+    for k, first, block in parts:
+        (x, y, sx, sy), (_, w) = one.passes[k], one.shapes[k]
+        rows = unfilter(block, one.bpp, above if first else None)
+        above = rows[:, -1]
+        down = _overlap(one.height, y + sy * (first + np.arange(rows.shape[1])))
+        out += down @ _across(light(samples(rows, w, CHANNELS[one.colour], one.depth), images), one.width, x + sx * np.arange(w))
+    return out
+
+
+def cosine_hash(small: np.ndarray) -> list[bytes]:
+    low = np.round((_DCT @ small @ _DCT.T).reshape(len(small), -1), 9)
     bits = low > np.median(low[:, 1:], axis=1, keepdims=True)
     bits[:, 0] = False  # the mean says nothing of the shape
     return [b.tobytes() for b in np.packbits(bits, axis=1)]
@@ -215,11 +264,16 @@ def _decode(column: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
                 except Fault as e:
                     info[k] = {"status": str(e)}
             for group in alike.values():
-                step = max(1, (1 << 22) // (group[0][1].width * group[0][1].height))
+                step = max(1, BAND_BYTES // group[0][1].want)
                 for p in range(0, len(group), step):
                     some = group[p : p + step]
-                    for (k, _), h in zip(some, cosine_hash(grey([i for _, i in some]))):
-                        info[k]["phash"] = h
+                    try:
+                        hashes = cosine_hash(grid([i for _, i in some]))
+                    except Fault as e:  # of a large image, which is alone
+                        info[some[0][0]] = {"status": str(e)}
+                        continue
+                    for (k, i), h in zip(some, hashes):
+                        info[k] = {"status": i.fault} if i.fault else info[k] | {"phash": h}
             names = [c for c in b.schema.names if c != column]
             new = [(c, t) for c, t in (("width", pa.int32()), ("height", pa.int32()), ("channels", pa.int32()), ("depth", pa.int32()), ("status", pa.string()), ("phash", pa.binary()))]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], *[pa.array([i.get(c) for i in info], t) for c, t in new]], [*names, *[c for c, _ in new]])
