@@ -28,9 +28,26 @@ def key(name: str = "name", place: str = "municipality") -> Column:
 def enrich(centers: DataFrame) -> DataFrame:
     """Tags, type and defaults."""
     out = centers.withColumn("needs_tags", fields.needs_tags("needs")).withColumn("ctype", fields.center_type("name", "needs", "ctype"))
-    for c, default in (("status", "active"), ("confirmations", 0)):
-        out = out.withColumn(c, F.coalesce(F.col(c), F.lit(default)) if c in centers.columns else F.lit(default))
-    return out
+    out = out.withColumn("status", F.coalesce(present("status"), F.lit("active")) if "status" in centers.columns else F.lit("active"))
+    return out.withColumn("confirmations", F.coalesce("confirmations", F.lit(0)) if "confirmations" in centers.columns else F.lit(0))
+
+
+def places_to_ask(centers: DataFrame, country: str = "Venezuela") -> DataFrame:
+    """(center_id, step, q): what to ask a geocoder for centers without coordinates: the address in the country, the municipality
+    in it, then the municipality anywhere."""
+    some = lambda *c: F.concat_ws(", ", *[present(x) for x in c])
+    town = present("municipality")
+    asked = F.array(F.nullif(some("address", "municipality"), F.lit("")), town, town)
+    q = F.when(F.col("step") < 2, F.concat("at", F.lit(f", {country}"))).otherwise(F.col("at"))
+    return centers.filter("lat is null").select("center_id", F.posexplode(asked).alias("step", "at")).filter("at is not null").select("center_id", "step", q.alias("q"))
+
+
+def placed(centers: DataFrame, hits: DataFrame) -> DataFrame:
+    """Centers with the coordinates of the first of their questions that has a hit (q, lat, lng); known ones stay."""
+    h = places_to_ask(centers).join(hits.select("q", F.col("lat").alias("h_lat"), F.col("lng").alias("h_lng")), "q")
+    h = h.groupBy("center_id").agg(F.min_by(F.struct("h_lat", "h_lng"), "step").alias("h"))
+    out = centers.join(h, "center_id", "left")
+    return out.withColumn("lng", F.when(F.col("lat").isNull(), F.col("h.h_lng")).otherwise(F.col("lng"))).withColumn("lat", F.coalesce("lat", "h.h_lat")).drop("h")
 
 
 def merge_first(rows: DataFrame, by: str | list[str], order: str, columns: list[str]) -> DataFrame:

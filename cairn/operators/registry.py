@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,6 +57,12 @@ def due(sources: DataFrame, state: DataFrame, now: Column) -> DataFrame:
     return s.filter(F.col("enabled") & (F.col("seen").isNull() | (F.col("seen") != F.col("hash")) | F.coalesce(passed, F.lit(True)))).drop("seen", "last_run")
 
 
+def marked(state: DataFrame, done: DataFrame, now: Column) -> DataFrame:
+    """The state (id, hash, last_run) after the sources of ``done`` (id, hash) ran."""
+    new = done.select("id", "hash", now.alias("last_run"))
+    return state.select("id", "hash", "last_run").join(new, "id", "left_anti").unionByName(new)
+
+
 def content_hash(files: DataFrame) -> DataFrame:
     """(id, hash) of files (id, path, modified): a digest of the sorted names and whole modification seconds."""
     entry = F.concat_ws(":", F.regexp_extract("path", r"([^/]+)$", 1), F.unix_timestamp("modified").cast("string"))
@@ -73,32 +81,36 @@ def window_counts(requests: DataFrame, seconds: int = 60) -> DataFrame:
     return requests.withColumn("in_window", F.count(F.lit(1)).over(w))
 
 
-def admit(times: list[float], accepted: list[float], limit: int, seconds: float) -> tuple[list[bool], list[float]]:
-    """Greedy limiter: a request passes if fewer than ``limit`` passed in the last ``seconds``."""
-    out = []
+def admit(times: Iterable[float], accepted: Iterable[float], limit: int, seconds: float) -> tuple[list[bool], list[float]]:
+    """Greedy limiter: a request passes if fewer than ``limit`` passed in the last ``seconds``. Times ascend, so the
+    accepted ones leave the window in their order."""
+    held, out = deque(accepted), []
     for t in times:
-        accepted = [x for x in accepted if t - x <= seconds]
-        ok = len(accepted) < limit
-        out.append(ok)
-        if ok:
-            accepted.append(t)
-    return out, accepted
+        while held and t - held[0] > seconds:
+            held.popleft()
+        out.append(len(held) < limit)
+        if out[-1]:
+            held.append(t)
+    return out, list(held)
 
 
 def rate_limit(requests: DataFrame, limit: int, seconds: float, order: str) -> DataFrame:
     """Requests (key, ts, ``order``) with ``allowed``. A refused request doesn't count, so no window frame
-    tells; a key's requests are scanned in their order, a batch at a time."""
+    tells; a key's requests are scanned in their order, a run of one key at a time."""
     names = requests.columns
     schema = requests.withColumn("allowed", F.lit(True)).schema
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, accepted = object(), []
+        last, accepted = object(), []
         for b in batches:
-            out = []
-            for k, t in zip(b["key"], b["ts"].astype("int64") / 1e9 if b["ts"].dtype.kind != "M" else b["ts"].astype("datetime64[us]").astype("int64") / 1e6):
-                if k != key:
-                    key, accepted = k, []
-                ok, accepted = admit([t], accepted, limit, seconds)
+            times = b["ts"].astype("datetime64[us]").astype("int64").to_numpy() / 1e6
+            keys = b["key"].to_numpy()
+            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1), len(b)] if len(b) else []
+            out: list[bool] = []
+            for s, e in zip(cuts[:-1], cuts[1:]):
+                if keys[s] != last:
+                    last, accepted = keys[s], []
+                ok, accepted = admit(times[s:e].tolist(), accepted, limit, seconds)
                 out += ok
             yield b.assign(allowed=out)[[*names, "allowed"]]
 

@@ -51,6 +51,17 @@ def for_question(persons: DataFrame, limit: int = 12, **given: str | None) -> Da
     return persons.filter(person_filter(**given)).orderBy((F.col("primary_ci") != "").desc(), F.col("n_records").desc(), "entity").limit(limit)
 
 
+def for_agent(persons: DataFrame, limit: int = 8, **given: str | None) -> DataFrame:
+    """The few that a tool loop sees: of most records first."""
+    return persons.filter(person_filter(**given)).orderBy(F.col("n_records").desc(), "entity").limit(limit)
+
+
+def with_sources(persons: DataFrame, records: DataFrame) -> DataFrame:
+    """persons with ``listed``: the distinct sources of their records (entity, source), in order, joined by commas."""
+    s = records.groupBy("entity").agg(F.array_join(F.array_sort(F.collect_set("source")), ",").alias("listed"))
+    return persons.join(s, "entity", "left")
+
+
 def review_queue(persons: DataFrame, limit: int = 100) -> DataFrame:
     if not 1 <= limit <= 500:
         raise ValueError("limit: 1 to 500")

@@ -733,3 +733,19 @@ def center_refresh(spark, sf):
     seen = v.filter("center_id % 3 = 0").orderBy("center_id").select("name", "municipality", F.when(F.col("phone") != "", F.concat(F.lit("nueva "), "phone")).otherwise("").alias("address"), F.lit("").alias("hours"), F.lit("").alias("needs"), F.lit("").alias("phone"))
     out = federated.refresh(old, seen, F.lit(NOW).cast("timestamp"))
     return out.select("center_id", centers.key().alias("ckey"), "address", "status", F.col("last_confirmed").isNotNull().alias("confirmed"))
+
+
+@query(f"""with {_PEOPLE} select p.entity, p.n_records, array_to_string(list_sort(list(distinct r.source)), ',') as listed from people p join person_records r on p.entity = cast(floor(r.record_id / 4e0) as bigint)
+where list_contains(statuses, 'fallecido') group by p.entity, p.n_records order by p.n_records desc, p.entity limit 8""")
+def agent_persons(spark, sf):
+    r = view(spark, sf, "person_records").select(F.floor(F.col("record_id") / 4).cast("long").alias("entity"), "source")
+    return search.with_sources(search.for_agent(_people(spark, sf), status="fallecido"), r).select("entity", "n_records", "listed")
+
+
+@query(f"""with {ctes('centers_v')}
+select center_id, case when center_id % 3 = 0 then 1e0 when address <> '' and center_id % 4 = 0 then cast(center_id as double) when municipality like '%1' then 5e-1 end as lat from centers_v""")
+def center_places(spark, sf):
+    v = view(spark, sf, "centers_v").withColumn("lat", F.when(F.col("center_id") % 3 == 0, F.lit(1.0))).withColumn("lng", F.col("lat"))
+    whole = v.filter("center_id % 4 = 0 and address <> ''").select(F.concat_ws(", ", "address", "municipality", F.lit("Venezuela")).alias("q"), F.col("center_id").cast("double").alias("lat"), F.lit(2.0).alias("lng"))
+    towns = v.filter("municipality like '%1'").select(F.col("municipality").alias("q"), F.lit(0.5).alias("lat"), F.lit(2.0).alias("lng")).distinct()
+    return centers.placed(v, whole.union(towns)).select("center_id", "lat")
