@@ -1,15 +1,17 @@
 """HTML extraction by wrapper induction.
 
 Pages of a host are aligned, by simple tree matching of their DOM trees, with the host's reference page
-(the least hash of page_id). For every text node of the reference, the texts that the host's pages have
-there are counted over all pages: a text that at least SUPPORT of the pages share is template. The other
-texts there vary: they are content, as is text that aligns with nothing. Text of SKIP elements is no
-content in any case.
+(the least hash of page_id). A text node's slot is the reference node that it aligns with or, if none, its path of tags: so
+nodes that the reference lacks, of another layout, are induced too. For every slot the texts that the host's
+pages have there are counted: a text that at least SUPPORT of the pages share (of a path: of the pages that have it, if these are
+FEW and LAYOUT of the host's) is template. The other texts there vary: they are content. Elements that a browser doesn't
+render (UNSEEN) have no text. A page is parsed and matched once; equal shapes align alike, so a pair of shapes is matched once.
 
 Defined results: a null html gives null content; a page without a host, and the only page of one, is all
 content; repeated rows are so many pages; tags that are never closed or opened are mended as browsers
-do, comments that never end run to the end of the page; an empty table gives an empty one; columns named
-as a result (host, content, n_template, n_slots) or ``ref`` or ``constant`` give way.
+do, comments that never end run to the end of the page; nesting of any depth is read; of equally good alignments the
+one holds that leaves later nodes out; an empty table gives an empty one; columns named
+as a result (host, content, n_template, n_slots) or ``ref``, ``constant``, ``slots`` or ``texts`` give way.
 """
 
 from __future__ import annotations
@@ -25,10 +27,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import kernel
-from cairn.session import BROADCAST_BYTES, cut
+from cairn.session import BROADCAST_BYTES, bounded, cut, stored
 
-SUPPORT = 0.6
-SKIP = frozenset({"script", "style", "noscript", "template", "head", "nav", "textarea"})
+SUPPORT, LAYOUT, FEW = 0.6, 0.01, 3
+UNSEEN = frozenset({"script", "style", "noscript", "template", "head"})
+ALONE = -1
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|textarea)\b[^>]*+>(.*?)(?:</\1\s*+>|\Z)|<[!?][^>]*+>|<(/?)([a-z][\w:-]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)/?>",
     re.S | re.I)
@@ -40,60 +43,67 @@ _signs: dict[tuple, int] = {}
 
 
 class Tree:
-    """Nodes in document order: tag ('#' for text), children, text, and whether a SKIP element holds it."""
+    """Nodes in document order: tag ('#' for text), parent, children, text, and whether an UNSEEN element holds it."""
 
     def __init__(self, source: str):
-        self.tag, self.kids, self.text, self.skip = ["#root"], [[]], [""], [False]
+        self.tag, self.up, self.kids, self.text, self.skip = ["#root"], [0], [[]], [""], [False]
+        self.open: dict[str, int] = {}
         stack = [0]
         at = 0
         for m in _TOKEN.finditer(source):
             if m.start() > at:
-                self._add_text(source[at : m.start()], stack)
+                self._add_text(source[at : m.start()], stack[-1])
             at = m.end()
             raw, close, name = m.group(1), m.group(3), m.group(4)
             if raw:
-                node = self._add(raw.lower(), stack)
-                self._add_text(m.group(2), [*stack, node])
+                self._add_text(m.group(2), self._add(raw.lower(), stack[-1]))
             elif name:
                 name = name.lower()
                 if close:
-                    for k in range(len(stack) - 1, 0, -1):
-                        if self.tag[stack[k]] == name:
-                            del stack[k:]
-                            break
+                    if self.open.get(name):
+                        k = len(stack) - 1
+                        while self.tag[stack[k]] != name:
+                            k -= 1
+                        self._close(stack, k)
                 else:
                     self._imply(name, stack)
-                    node = self._add(name, stack)
+                    node = self._add(name, stack[-1])
                     if name not in _VOID and not m.group(0).endswith("/>"):
                         stack.append(node)
+                        self.open[name] = self.open.get(name, 0) + 1
         if at < len(source):
-            self._add_text(source[at:], stack)
+            self._add_text(source[at:], stack[-1])
         self._sign()
 
-    def _add(self, tag: str, stack: list[int], text: str = "") -> int:
+    def _add(self, tag: str, up: int, text: str = "") -> int:
         n = len(self.tag)
-        up = stack[-1]
         self.tag.append(tag)
+        self.up.append(up)
         self.kids.append([])
         self.text.append(text)
-        self.skip.append(self.skip[up] or tag in SKIP)
+        self.skip.append(self.skip[up] or tag in UNSEEN)
         self.kids[up].append(n)
         return n
 
-    def _add_text(self, text: str, stack: list[int]) -> None:
+    def _add_text(self, text: str, up: int) -> None:
         text = " ".join(entities.unescape(text).split())
         if text:
-            self._add("#", stack, text)
+            self._add("#", up, text)
+
+    def _close(self, stack: list[int], k: int) -> None:
+        for node in stack[k:]:
+            self.open[self.tag[node]] -= 1
+        del stack[k:]
 
     def _imply(self, name: str, stack: list[int]) -> None:
         """Close the elements that the start of ``name`` ends."""
         ends = {"p"} if name in _BLOCK else _SELF.get(name)
-        if not ends:
+        if not ends or not any(self.open.get(t) for t in ends):
             return
         for k in range(len(stack) - 1, 0, -1):
             tag = self.tag[stack[k]]
             if tag in ends:
-                del stack[k:]
+                self._close(stack, k)
                 return
             if tag in _SCOPE or name in _SELF and tag in ("ul", "ol", "dl", "select"):
                 return
@@ -108,6 +118,14 @@ class Tree:
             for x in kids:
                 self.size[k] += self.size[x]
 
+    def path(self, node: int) -> int:
+        """A negative number, below ALONE, for the tags from the root to a node."""
+        tags = []
+        while node:
+            tags.append(self.tag[node])
+            node = self.up[node]
+        return ALONE - 1 - (xxhash.xxh3_64_intdigest("/".join(tags)) >> 2)
+
 
 class Matcher:
     """Simple tree matching: the most node pairs of equal tags that keep ancestry and order."""
@@ -135,18 +153,34 @@ class Matcher:
             np.maximum.accumulate(m[i + 1], out=m[i + 1])
         return m
 
-    def weight(self, x: int, y: int) -> int:
+    def _found(self, x: int, y: int) -> int | None:
         a, b = self.a, self.b
         if a.tag[x] != b.tag[y]:
             return 0
         if a.sign[x] == b.sign[y]:
             return a.size[x]
-        key = (a.sign[x], b.sign[y])
-        w = self.known.get(key)
-        if w is None:
-            m = self._matrix(x, y)
-            w = self.known[key] = 1 + (int(m[-1, -1]) if m is not None else 0)
-        return w
+        return self.known.get((a.sign[x], b.sign[y]))
+
+    def weight(self, x: int, y: int) -> int:
+        """Pairs in the best matching of two subtrees that pairs their roots, 0 if these differ. The pairs of
+        children that it depends on are weighed first, from a list instead of by recursion."""
+        a, b = self.a, self.b
+        todo = [(x, y)]
+        while todo:
+            i, j = todo[-1]
+            if self._found(i, j) is not None:
+                todo.pop()
+                continue
+            p = {a.sign[k]: k for k in a.kids[i]}.values()
+            q = {b.sign[k]: k for k in b.kids[j]}.values()
+            missing = [(k, f) for k in p for f in q if self._found(k, f) is None]
+            if missing:
+                todo += missing
+                continue
+            m = self._matrix(i, j)
+            self.known[a.sign[i], b.sign[j]] = 1 + (int(m[-1, -1]) if m is not None else 0)
+            todo.pop()
+        return self._found(x, y)
 
     def pairs(self) -> dict[int, int]:
         """Node of ``a`` -> the node of ``b`` that it aligns with."""
@@ -175,108 +209,96 @@ class Matcher:
 
 
 def text_hash(text: str) -> int:
-    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+    """What Spark's xxhash64 gives for a text."""
+    h = xxhash.xxh64_intdigest(text.encode("utf-8", "replace"), 42)
+    return h - (1 << 64) if h >> 63 else h
 
 
-def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, Tree, Tree | None]]:
-    """Each page's tree with its reference's; the last references stay parsed."""
-    kept: dict[str, tuple[str, Tree]] = {}
+def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each page's visible texts with their slots. The last references stay parsed, the last pairs of shapes matched."""
+    refs: dict[str, tuple[str, Tree]] = {}
+    matched: dict[tuple[int, int], dict[int, int]] = {}
     for b in batches:
-        for k, (host, page, ref) in enumerate(zip(*[b.column(c).to_pylist() for c in ("host", "html", "ref")])):
+        rows: list[tuple] = []
+        for host, html, ref in zip(*[b.column(c).to_pylist() for c in ("host", "html", "ref")]):
             if len(_signs) > 500_000:
                 _signs.clear()
-                kept.clear()
-            tree = None
-            if ref is not None:
-                if host not in kept or kept[host][0] != ref:
-                    if len(kept) > 256:
-                        kept.clear()
-                    kept[host] = (ref, Tree(ref))
-                tree = kept[host][1]
-            yield b, k, Tree(page), tree
-
-
-def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    n: dict[tuple[str, int, int], int] = {}
-
-    def flush() -> pa.RecordBatch:
-        keys = list(n)
-        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.int64()), pa.array(list(n.values()), pa.int64())], ["host", "node", "h", "n"])
-
-    for b, k, page, ref in _trees(batches):
-        host = b.column("host")[k].as_py()
-        for x, y in Matcher(page, ref).pairs().items():
-            if page.tag[x] == "#" and not page.skip[x]:
-                key = (host, y, text_hash(page.text[x]))
-                n[key] = n.get(key, 0) + 1
-        n[host, -1, 0] = n.get((host, -1, 0), 0) + 1
-        if len(n) > 200_000:
-            yield flush()
-            n.clear()
-    if n:
-        yield flush()
-
-
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows: list[tuple] = []
-    last = None
-    constant: dict[str, tuple[object, set]] = {}
-
-    def done(b: pa.RecordBatch) -> pa.RecordBatch:
-        names = [c for c in b.schema.names if c not in ("html", "ref", "constant")]
+                refs.clear()
+                matched.clear()
+            page = Tree(html)
+            seen = [k for k in range(len(page.tag)) if page.tag[k] == "#" and not page.skip[k]]
+            if ref is None:
+                slots = [ALONE] * len(seen)
+            else:
+                if host not in refs or refs[host][0] != ref:
+                    if len(refs) > 256:
+                        refs.clear()
+                    refs[host] = (ref, Tree(ref))
+                tree = refs[host][1]
+                key = (page.sign[0], tree.sign[0])
+                pairs = matched.get(key)
+                if pairs is None:
+                    if len(matched) > 4096:
+                        matched.clear()
+                    every = Matcher(page, tree).pairs()
+                    pairs = matched[key] = {k: every[k] for k in seen if k in every}
+                slots = [pairs[k] if k in pairs else page.path(k) for k in seen]
+            texts = [page.text[k] for k in seen]
+            rows.append((slots, texts))
+        names = [c for c in b.schema.names if c not in ("html", "ref")]
+        kinds = (pa.list_(pa.int64()), pa.list_(pa.string()))
+        yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], *[pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)]], [*names, "slots", "texts"])
+
+
+def _choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The content of each page: its texts but for the constants of its host."""
+    held: tuple[str | None, set] = (None, set())
+    for b in batches:
+        rows: list[tuple] = []
+        for k, (host, slots, texts) in enumerate(zip(*[b.column(c).to_pylist() for c in ("host", "slots", "texts")])):
+            constant = b.column("constant")[k]
+            if not constant.is_valid:
+                rows.append(("\n".join(texts), 0, len(texts)))
+                continue
+            if held[0] != host:
+                held = (host, {(c["slot"], c["h"]) for c in constant.as_py()})
+            own = [t for s, t in zip(slots, texts) if (s, text_hash(t)) not in held[1]]
+            rows.append(("\n".join(own), len(texts) - len(own), len(own)))
+        names = [c for c in b.schema.names if c not in ("slots", "texts", "constant")]
         kinds = (pa.string(), pa.int32(), pa.int32())
-        return pa.RecordBatch.from_arrays([*[b.column(c) for c in names], *[pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)]], [*names, "content", "n_template", "n_slots"])
-
-    for b, k, page, ref in _trees(batches):
-        if last is not None and b is not last:
-            yield done(last)
-            rows.clear()
-        last = b
-        pairs = {}
-        fixed: set = set()
-        if ref is not None:
-            pairs = Matcher(page, ref).pairs()
-            host = b.column("host")[k].as_py()
-            if host not in constant:
-                if len(constant) > 256:
-                    constant.clear()
-                constant[host] = {(c["node"], c["h"]) for c in b.column("constant")[k].as_py() or []}
-            fixed = constant[host]
-        content, template = [], 0
-        for x in range(len(page.tag)):
-            if page.tag[x] == "#" and not page.skip[x]:
-                if fixed and x in pairs and (pairs[x], text_hash(page.text[x])) in fixed:
-                    template += 1
-                else:
-                    content.append(page.text[x])
-        rows.append(("\n".join(content), template, len(content)))
-    if last is not None:
-        yield done(last)
+        yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], *[pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)]], [*names, "content", "n_template", "n_slots"])
+
+
+def constants(aligned: DataFrame, hosts: DataFrame, support: float = SUPPORT) -> DataFrame:
+    """(host, constant): the (slot, h) of the template texts of each host of ``hosts`` (host, pages)."""
+    p = aligned.join(bounded(hosts.select("host"), 64), "host", "left_semi")
+    each = p.select("host", F.explode(F.array_distinct(F.zip_with("slots", "texts", lambda s, t: F.struct(s.alias("slot"), F.xxhash64(t).alias("h"))))).alias("x"))
+    n = each.groupBy("host", "x.slot", "x.h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    paths = p.select("host", F.explode(F.array_distinct(F.filter("slots", lambda s: s < ALONE))).alias("slot")).groupBy("host", "slot").agg(F.count(F.lit(1)).alias("there"))
+    t = n.join(bounded(hosts, 72), "host").join(paths, ["host", "slot"], "left")
+    most = F.col("n") >= support * F.coalesce("there", "pages")
+    layout = F.col("there").isNull() | ((F.col("n") >= FEW) & (F.col("there") >= LAYOUT * F.col("pages")))
+    return t.filter(most & layout).groupBy("host").agg(F.collect_list(F.struct("slot", "h")).alias("constant"))
 
 
 def extract(pages: DataFrame, support: float = SUPPORT) -> DataFrame:
     """``pages`` (url, html and a page_id) with host, content, n_template and n_slots instead of html."""
     kernel.frugal(pages.sparkSession)
-    pages = kernel.without(pages, "host", "content", "n_template", "n_slots", "ref", "constant")
+    pages = kernel.without(pages, "host", "content", "n_template", "n_slots", "ref", "constant", "slots", "texts")
     pages = pages.withColumn("host", F.nullif(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit("")))
     whole = pages.filter("html is not null")
     lead = whole.filter("host is not null").groupBy("host").agg(F.min(F.struct(F.xxhash64("page_id"), "page_id")).alias("m"), F.count(F.lit(1)).alias("pages"))
     lead = cut(lead.filter("pages > 1").select("host", F.col("m.page_id").alias("page_id"), "pages"))
-    small = lead.count() * 64 <= BROADCAST_BYTES
-    near = F.broadcast(lead) if small else lead
-    refs = whole.join(near.select("host", "page_id"), ["host", "page_id"], "left_semi")
-    refs = cut(refs.groupBy("host").agg(F.min("html").alias("ref")))
-    size = refs.agg(F.coalesce(F.sum(F.octet_length("ref")), F.lit(0))).first()[0]
-    side = (lambda d: F.broadcast(d)) if size <= BROADCAST_BYTES else (lambda d: d.hint("shuffle_hash"))
-    seen = whole.select("host", "html").join(side(refs), "host").mapInArrow(_occurrences, "host string, node int, h long, n long")
-    seen = cut(seen.groupBy("host", "node", "h").agg(F.sum("n").alias("n")).filter(F.col("n") > 1))
-    total = seen.filter("node = -1").select("host", F.col("n").alias("pages"))
-    fixed = seen.filter("node >= 0").join(F.broadcast(total) if small else total, "host").filter(F.col("n") >= support * F.col("pages"))
-    fixed = fixed.groupBy("host").agg(F.collect_list(F.struct("node", "h")).alias("constant"))
-    refs = cut(refs.join(fixed, "host", "left"))
+    on = whole.alias("w").join(bounded(lead, 64).alias("l"), (F.col("w.host") == F.col("l.host")) & F.equal_null("w.page_id", "l.page_id"), "left_semi")
+    refs = cut(on.groupBy("host").agg(F.min("html").alias("ref")))
+    side = lambda d, size: F.broadcast(d) if d.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0] <= BROADCAST_BYTES else d.hint("shuffle_hash")
     kept = [f for f in pages.schema if f.name != "html"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", content string, n_template int, n_slots int"
-    got = whole.join(side(refs), "host", "left").select(*[f.name for f in kept], "html", "ref", "constant").mapInArrow(_extract, schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+    names = [f.name for f in kept]
+    aligned = whole.join(side(refs, F.octet_length("ref")), "host", "left").select(*names, "html", "ref").mapInArrow(_align, schema + ", slots array<bigint>, texts array<string>")
+    aligned = stored(aligned)
+    fixed = cut(constants(aligned, lead.select("host", "pages"), support))
+    got = aligned.join(side(fixed, F.size("constant") * 16), "host", "left").select(*names, "slots", "texts", "constant").mapInArrow(_choose, schema + ", content string, n_template int, n_slots int")
     bare = pages.filter("html is null").drop("html").withColumns({"content": F.lit(None).cast("string"), "n_template": F.lit(0), "n_slots": F.lit(0)})
     return got.select(bare.columns).union(bare)
 

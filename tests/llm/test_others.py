@@ -1,6 +1,7 @@
 """Chat formatting, PNG hashes, wrapper induction, language ID, WARC archives."""
 
 import io
+import math
 import random
 import struct
 import zlib
@@ -66,7 +67,90 @@ def test_png_interlaced():
     raw = b"".join(b"\0" + x[y, a::sx].astype(np.uint8).tobytes() for a, b, sx, sy in media._ADAM7 if a < 9 for y in range(b, 11, sy))
     chunk = lambda k, body: struct.pack(">I4s", len(body), k) + body + struct.pack(">I", zlib.crc32(k + body))
     png = media.SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", 9, 11, 8, 0, 0, 0, 1)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
-    assert np.allclose(media.grey([media.Image(png)])[0] * 255, x)
+    i = media.Image(png)
+    full = np.zeros((11, 9))
+    for k, first, block in i.bands():
+        a, b, sx, sy = i.passes[k]
+        full[b::sy, a::sx] = media.light(media.samples(media.unfilter(block[None], 1), i.shapes[k][1], 1, 8), [i])[0]
+    assert np.allclose(full * 255, x) and np.allclose(media.grid([i])[0], reduced(full))
+
+
+def reduced(grey):
+    """32x32 averages by their definition."""
+    h, w = grey.shape
+    out = [[0.0] * 32 for _ in range(32)]
+    for r in range(32):
+        for c in range(32):
+            for y in range(r * h // 32, min(h, -(-(r + 1) * h // 32))):
+                for x in range(c * w // 32, min(w, -(-(c + 1) * w // 32))):
+                    over = max(0, min((r + 1) * h / 32, y + 1) - max(r * h / 32, y)) * max(0, min((c + 1) * w / 32, x + 1) - max(c * w / 32, x))
+                    out[r][c] += grey[y][x] * over * 32 * 32 / (h * w)
+    return np.array(out)
+
+
+def plain_hash(grey):
+    """The hash by a double sum over the averages."""
+    small = reduced(grey)
+    low = [round(sum(small[y, x] * math.cos(math.pi * (y + 0.5) * u / 32) * math.cos(math.pi * (x + 0.5) * v / 32) for y in range(32) for x in range(32)), 9) for u in range(8) for v in range(8)]
+    middle = sorted(low[1:])[31]
+    return int("".join(str(int(k > 0 and c > middle)) for k, c in enumerate(low)), 2).to_bytes(8, "big")
+
+
+def by_hand(x, colour, kind, palette=b""):
+    """A PNG of 8-bit samples made without the module: every row has the filter ``kind``, a chunk of its own, and there is a text chunk."""
+    chunk = lambda k, body: struct.pack(">I", len(body)) + k + body + struct.pack(">I", zlib.crc32(k + body))
+    h, w, c = x.shape
+    z, before, body = zlib.compressobj(1), bytes(w * c), []
+    for y in range(h):
+        row = bytes(int(v) for v in x[y].ravel())
+        line = bytearray([kind])
+        for p, v in enumerate(row):
+            left, up, corner = row[p - c] if p >= c else 0, before[p], before[p - c] if p >= c else 0
+            near = min((abs(left + up - corner - s), k, s) for k, s in enumerate((left, up, corner)))[2]
+            line.append((v - (0, left, up, (left + up) // 2, near)[kind]) % 256)
+        body.append(z.compress(bytes(line)) + z.flush(zlib.Z_SYNC_FLUSH))
+        before = row
+    body[-1] += z.flush()
+    extra = chunk(b"PLTE", palette) if palette else b""
+    return media.SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, colour, 0, 0, 0)) + chunk(b"tEXt", b"Comment\0x") + extra + b"".join(chunk(b"IDAT", z) for z in body) + chunk(b"IEND", b"")
+
+
+@pytest.mark.parametrize("colour", [0, 2, 3, 4, 6])
+def test_hash_equals_plain_cosine_transform(spark, colour):
+    r = np.random.default_rng(colour)
+    rows, want = [], {}
+    palette = r.integers(0, 256, (256, 3))
+    for n, (h, w) in enumerate(((5, 9), (32, 32), (41, 70))):
+        for kind in range(5):
+            x = r.integers(0, 256, (h, w, media.CHANNELS[colour]))
+            rgb = palette[x[..., 0]] if colour == 3 else x[..., :3] if colour in (2, 6) else np.repeat(x[..., :1], 3, 2)
+            grey = (0.299 * rgb[..., 0] + 0.587 * rgb[..., 1] + 0.114 * rgb[..., 2]) / 255
+            if colour in (4, 6):
+                grey = grey * x[..., -1] / 255 + 1 - x[..., -1] / 255
+            rows.append((5 * n + kind, by_hand(x, colour, kind, palette.astype(np.uint8).tobytes() if colour == 3 else b"")))
+            want[5 * n + kind] = plain_hash(grey)
+    got = {x["id"]: (x["status"], bytes(x["phash"])) for x in media.decode(spark.createDataFrame(rows, "id long, png binary")).collect()}
+    assert got == {k: ("ok", v) for k, v in want.items()}
+
+
+def test_large_image_is_decoded_in_bands(monkeypatch):
+    x = np.random.default_rng(3).integers(0, 256, (300, 5000, 1))
+    png = media.encode(x, 0)
+    whole = media.cosine_hash(media.grid([media.Image(png)]))
+    monkeypatch.setattr(media, "BAND_BYTES", 40_000)
+    i = media.Image(png)
+    assert not i.small and media.cosine_hash(media.grid([i])) == whole
+    short = media.encode(x[:200], 0).replace(struct.pack(">II", 5000, 200), struct.pack(">II", 5000, 201))
+    short = short[:29] + struct.pack(">I", zlib.crc32(short[12:29])) + short[33:]
+    with pytest.raises(media.Fault, match="scanlines"):
+        media.grid([media.Image(short)])
+
+
+def test_palette_index_out_of_range(spark):
+    x = np.full((4, 4, 1), 7)
+    rows = [(1, media.encode(x, 3, palette=bytes(24))), (2, media.encode(x, 3, palette=bytes(21)))]
+    got = {r["id"]: (r["status"], r["phash"] is None) for r in media.decode(spark.createDataFrame(rows, "id long, png binary")).collect()}
+    assert got == {1: ("ok", False), 2: ("palette index", True)}
 
 
 def test_media_edge_rows(spark):
@@ -75,8 +159,8 @@ def test_media_edge_rows(spark):
     png = media.encode(smooth, 0)
     bad = bytearray(png)
     bad[60] ^= 1
-    huge = media.SIGNATURE + struct.pack(">I4s", 13, b"IHDR") + (h := struct.pack(">IIBBBBB", 1 << 20, 1 << 20, 8, 0, 0, 0, 0)) + struct.pack(">I", zlib.crc32(b"IHDR" + h))
-    rows = [(1, png), (1, png), (None, media.encode(smooth + 30, 0, filters=3)), (3, None), (4, b""), (5, bytes(bad)), (6, png[:-5]), (7, huge), (8, media.encode(np.repeat(smooth, 3, 2), 2))]
+    wide = media.SIGNATURE + struct.pack(">I4s", 13, b"IHDR") + (h := struct.pack(">IIBBBBB", 1 << 28, 1 << 20, 8, 0, 0, 0, 0)) + struct.pack(">I", zlib.crc32(b"IHDR" + h))
+    rows = [(1, png), (1, png), (None, media.encode(smooth + 30, 0, filters=3)), (3, None), (4, b""), (5, bytes(bad)), (6, png[:-5]), (7, wide), (8, media.encode(np.repeat(smooth, 3, 2), 2))]
     df = spark.createDataFrame(rows, "id long, png binary").withColumn("width", F.lit("w")).withColumn("status", F.lit(0))
     out = [(x["id"], x["status"], x["phash"]) for x in media.decode(df).collect()]
     by = {i: (s, h) for i, s, h in out}
@@ -84,7 +168,7 @@ def test_media_edge_rows(spark):
     assert len(out) == 9 and by[1][0] == "ok" and len(same) == 8
     near = lambda a, b: sum((x ^ y).bit_count() for x, y in zip(a, b))
     assert near(by[None][1], same) <= 4 and near(by[8][1], same) <= 2  # brightness, and grey as colour
-    assert by[3] == (None, None) and by[4] == ("signature", None) and "checksum" in by[5][0] and by[6] == ("chunk cut off", None) and by[7] == ("too large", None)
+    assert by[3] == (None, None) and by[4] == ("signature", None) and "checksum" in by[5][0] and by[6] == ("chunk cut off", None) and by[7] == ("row too long", None)
     assert media.decode(df.limit(0)).count() == 0
 
 
@@ -126,12 +210,27 @@ def test_wrapper_template_and_slots(spark):
     for r in wrapper.extract(df).collect():
         got.setdefault(r["page_id"], []).append(r)
     for k in range(12):
-        assert got[k][0]["content"] == f"Story & {k}\nby author {k}" and got[k][0]["n_template"] == 2
+        assert got[k][0]["content"] == f"Story & {k}\nby author {k}" and got[k][0]["n_template"] == 3
     assert len(got[1]) == 2 and got[50][0]["content"] == "all of it" and got[51][0]["content"] == "no host" and got[52][0]["content"] is None and got[53][0]["content"] == "" and got[54][0]["content"] == "deep"
     assert got[None][0]["content"] == "Story & 0\nby author 0"
     assert wrapper.extract(df.limit(0)).count() == 0
 
 
+def test_wrapper_reads_deep_pages_of_one_host(spark):
+    deep = lambda k, n: (k, f"http://d.org/{k}", "<div>" * n + f"<b>text {k}</b>" + ("<i>x</i>" if k % 2 else "<u>y</u>"))
+    rows = [deep(0, 10_000), deep(1, 10_000), deep(2, 9_990), deep(3, 600)]
+    got = {r["page_id"]: r["content"] for r in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k].startswith(f"text {k}") for k in range(4))
+
+
+def test_wrapper_induces_what_the_reference_lacks(spark):
+    a = lambda k: (k, f"http://h.org/{k}", f"<body><h1>Site</h1><p>story {k}</p><footer>About us</footer>")
+    b = lambda k: (k, f"http://h.org/{k}", f"<body><h1>Site</h1><table><tr><td>Banner of the day</td></tr></table><p>story {k}</p><section><em>Share this</em><em>note {k}</em></section><footer>About us</footer>")
+    rows = [a(k) for k in range(20)] + [b(k) for k in range(20, 30)]
+    got = {r["page_id"]: r["content"] for r in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == f"story {k}" for k in range(20)) and all(got[k] == f"story {k}\nnote {k}" for k in range(20, 30))
+
+
 # ------------------------------------------------------------------ language ID
 
 
@@ -182,4 +281,31 @@ def test_warc_files_and_faults(spark, tmp_path):
     plain = zstandard.ZstdCompressor().compress(ok) * 2  # without a dictionary
     assert [r["error"] for r in warc.records(io.BytesIO(plain))] == [None, None]
     lost = data[8 + struct.unpack("<I", data[4:8])[0] :]  # the dictionary is gone
-    assert next(warc.records(io.BytesIO(lost)))["error"].startswith("frame")
+    assert [r["error"][:5] for r in warc.records(io.BytesIO(lost))] == ["frame"]
+
+
+def test_warc_goes_on_after_damage():
+    made = [warc.record("resource", str(k), "2024-01-01T00:00:00Z", f"body {k} ".encode() * (20 + k), {}) for k in range(20)]
+    data = bytearray(warc.archive(made))
+    at = [r["offset"] for r in warc.records(io.BytesIO(bytes(data)))]
+    assert len(at) == 20
+    want = [f"body {k} ".encode() * (20 + k) for k in range(20)]
+    for spot in (at[1] + 4, at[1] + 9, at[1], at[1] + (at[2] - at[1]) // 2, at[2] - 2):
+        bad = bytearray(data)
+        bad[spot : spot + 2] = bytes(255 - x for x in bad[spot : spot + 2])
+        got = list(warc.records(io.BytesIO(bytes(bad))))
+        assert [r["block"] for r in got if r["error"] is None] == want[:1] + want[2:], spot
+        assert 1 <= sum(r["error"] is not None for r in got) <= 2
+    gone = bytes(data[: at[5] + 3] + data[at[6] :])
+    got = list(warc.records(io.BytesIO(gone)))
+    assert [r["block"] for r in got if r["error"] is None] == want[:5] + want[6:]
+    noise = bytes(data[: at[3]]) + b"noise" * 20_000 + bytes(data[at[3] :])
+    got = list(warc.records(io.BytesIO(noise)))
+    assert [r["error"] for r in got if r["error"]] == ["not a frame"] and len(got) == 21
+
+
+def test_warc_payload_digest():
+    http = b"HTTP/1.1 200 OK\r\nX: y\r\n\r\nthe page"
+    of = lambda body: {"Content-Type": "application/http; msgtype=response", "WARC-Payload-Digest": warc.digest(body)}
+    for body, fault in ((b"the page", None), (b"another", "payload digest")):
+        assert warc.parse(warc.record("response", "1", "2024-01-01T00:00:00Z", http, of(body)))["error"] == fault
