@@ -309,3 +309,41 @@ def test_warc_payload_digest():
     of = lambda body: {"Content-Type": "application/http; msgtype=response", "WARC-Payload-Digest": warc.digest(body)}
     for body, fault in ((b"the page", None), (b"another", "payload digest")):
         assert warc.parse(warc.record("response", "1", "2024-01-01T00:00:00Z", http, of(body)))["error"] == fault
+
+
+# ------------------------------------------------------------------ language ID, by its definition
+
+
+def test_langid_equals_plain_vectors(spark):
+    r = random.Random(6)
+    say = lambda letters: " ".join("".join(r.choice(letters) for _ in range(r.randrange(1, 7))) for _ in range(r.randrange(1, 40)))
+    rows = [(i, ("aa", "bb", "cc")[i % 3], say(("abcdé", "vwXyz", "mnopq")[i % 3])) for i in range(90)] + [(200, None, "éé É 12 a"), (201, None, "qa vb"), (202, None, None), (203, None, "жж")]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(3)
+    idf = langid.frequencies(df)
+    langs, centroids, least = langid.train(df, idf)
+    letter = lambda b: b >= 128 or chr(b) in "abcdefghijklmnopqrstuvwxyz"
+
+    def grams(text):
+        x = [b if letter(b) else 32 for b in (text or "").lower().encode()]
+        out = {}
+        for k, b in enumerate(x):
+            if b != 32:
+                g = (((x[k - 1] if k else 32) << 16 | b << 8 | (x[k + 1] if k + 1 < len(x) else 32)) * 2654435761 % (1 << 32)) >> 20
+                out[g] = out.get(g, 0) + 1
+        return out
+
+    texts = [t for _, _, t in rows if t is not None]
+    df_of = {}
+    for t in texts:
+        for g in grams(t):
+            df_of[g] = df_of.get(g, 0) + 1
+    weight = lambda g: math.log((len(texts) + 1) / (df_of.get(g, 0) + 1)) + 1
+    got = {x["doc_id"]: (x["lang_id"], x["similarity"]) for x in langid.identify(df).collect()}
+    for i, _, t in rows:
+        v = {g: n * weight(g) for g, n in grams(t).items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        sims = [sum(x * float(c[g]) for g, x in v.items()) / norm if norm else 0.0 for c in centroids]
+        best = max(range(len(sims)), key=lambda k: (round(sims[k], 6), -k))
+        assert got[i][1] == pytest.approx(sims[best], abs=1e-4)
+        assert got[i][0] == (langs[best] if sims[best] > 0 and sims[best] >= least[best] else "und"), i
+    assert {lang for lang, _ in got.values()} == {"aa", "bb", "cc", "und"}
