@@ -129,7 +129,8 @@ def date_of_file(name: Column | str) -> Column:
 
 
 def freshness(confirmed: Column | str, now: Column) -> Column:
-    hours = F.floor((F.unix_timestamp(now) - F.unix_timestamp(col(confirmed))) / 3600)
+    micros = lambda t: F.unix_micros(t.cast("timestamp"))  # noqa: E731  whole seconds would end an hour early
+    hours = F.floor((micros(now) - micros(col(confirmed))) / 3_600_000_000)
     return (
         F.when(hours.isNull(), "sin confirmar")
         .when(hours < 48, F.concat(F.lit("confirmado hace "), hours.cast("string"), F.lit("h")))
