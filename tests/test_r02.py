@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from cairn.functions import fields
+from cairn.operators import geo
 
 
 def test_hours_are_counted_to_the_microsecond(spark):
@@ -10,3 +11,9 @@ def test_hours_are_counted_to_the_microsecond(spark):
     ago = lambda t: fields.freshness(F.lit(t).cast("timestamp"), now)
     got = spark.range(1).select(ago("2024-01-31 23:00:00.5"), ago("2024-01-31 23:00:00"), ago("2024-01-30 00:00:00.000001"), ago("2024-01-30 00:00:00")).first()
     assert tuple(got) == ("confirmado hace 0h", "confirmado hace 1h", "confirmado hace 47h", "sin confirmar hace 2d")
+
+
+def test_sites_a_millimetre_apart_tie(spark):
+    points = spark.createDataFrame([(1, 10.5, -67.0)], "id long, lat double, lng double")
+    sites = spark.createDataFrame([(7, 10.51, -67.0), (3, 10.51 + 1e-12, -67.0)], "site_id long, lat double, lng double")
+    assert geo.nearest(points, sites).first().site_id == 3
