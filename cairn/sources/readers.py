@@ -220,7 +220,7 @@ def split_people(rows: DataFrame) -> DataFrame:
     solo = F.col("n") == 1
     key = F.col("id").cast("string")
     r = r.withColumn("uid", F.when(F.col("k") == 0, key).otherwise(F.concat_ws("#", key, F.col("k").cast("string"))))
-    found = F.get(ids.find_ids("who"), F.lit(0))
+    found = F.get(ids.find_ids("who", ids.IN_NAMES), F.lit(0))
     number = F.coalesce(F.when(solo, present(ids.digits("cedula"))), found)
     place = F.concat_ws(" / ", present(clean("ciudad")), F.when(clean("zona") != clean("ciudad"), present(clean("zona"))))
     a = fields.age(F.when(solo, F.col("edad").cast("string")))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from cairn.functions import fields
+from cairn.functions import fields, ids
 from cairn.operators import geo
 
 
@@ -17,3 +17,9 @@ def test_sites_a_millimetre_apart_tie(spark):
     points = spark.createDataFrame([(1, 10.5, -67.0)], "id long, lat double, lng double")
     sites = spark.createDataFrame([(7, 10.51, -67.0), (3, 10.51 + 1e-12, -67.0)], "site_id long, lat double, lng double")
     assert geo.nearest(points, sites).first().site_id == 3
+
+
+def test_digits_of_a_word_are_no_number(spark):
+    names = {"A12 LUZ FAM123456": ([], "A12 LUZ FAM123456"), "Ana Mora CI12.345.678": (["12345678"], "Ana Mora"), "Luis cédula: 9876543": (["9876543"], "Luis"), "V-9876543 Eva": (["9876543"], "Eva"), "Jose 1234567": (["1234567"], "Jose")}
+    rows = spark.createDataFrame([(n,) for n in names], "n string").select("n", ids.find_ids("n", ids.IN_NAMES), ids.strip_ids("n")).collect()
+    assert {r[0]: (r[1], r[2]) for r in rows} == names
