@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,6 +30,11 @@ def col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` uses it: within a CASE or a lambda Spark shares nothing."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def present(x: Column | str) -> Column:
     """The empty string counts as missing."""
     return F.nullif(col(x), F.lit(""))
@@ -75,26 +83,31 @@ _SWAPS = (("v", "b"), ("b", "v"), ("s", "z"), ("z", "s"), ("y", "i"), ("j", "g")
 
 def spelling_variants(x: Column | str) -> Column:
     """A word with its usual confusions (a silent h, letter swaps), sorted."""
-    t = fold_lower(x)
-    silent = F.when(t.startswith("h"), F.substring(t, 2, 1 << 20)).when(F.substring(t, 1, 1).isin(*"aeiou"), F.concat(F.lit("h"), t))
-    swapped = [F.when(F.contains(t, F.lit(a)), F.replace(t, F.lit(a), F.lit(b))) for a, b in _SWAPS]
-    return F.array_sort(F.array_distinct(F.filter(F.array(t, silent, *swapped), lambda v: v.isNotNull() & (F.length(v) > 1))))
+
+    def variants(t: Column) -> Column:
+        silent = F.when(t.startswith("h"), F.substring(t, 2, 1 << 20)).when(F.substring(t, 1, 1).isin(*"aeiou"), F.concat(F.lit("h"), t))
+        swapped = [F.when(F.contains(t, F.lit(a)), F.replace(t, F.lit(a), F.lit(b))) for a, b in _SWAPS]
+        return F.array_sort(F.array_distinct(F.filter(F.array(t, silent, *swapped), lambda v: v.isNotNull() & (F.length(v) > 1))))
+
+    return let(fold_lower(x), variants)
 
 
 def name_variants(x: Column | str, most: int = 10) -> Column:
     """The name, its last two words swapped, and spellings of the last two words; the first ``most``."""
-    full = clean(x)
-    w = F.split(full, " ")
-    n = F.size(w)
-    swap = F.when(n >= 3, F.array_join(F.concat(F.slice(w, 1, n - 2), F.array(F.element_at(w, -1), F.element_at(w, -2))), " "))
 
-    def respell(back: int) -> Column:
-        at = n - back
-        return F.when(at >= 0, F.transform(spelling_variants(F.get(w, at)), lambda v: F.array_join(F.transform(w, lambda t, i: F.when(i == at, v).otherwise(t)), " ")))
+    def variants(w: Column) -> Column:
+        n = F.size(w)
+        swap = F.when(n >= 3, F.array_join(F.concat(F.slice(w, 1, n - 2), F.array(F.element_at(w, -1), F.element_at(w, -2))), " "))
+
+        def respell(back: int) -> Column:
+            before, after = F.slice(w, F.lit(1), n - back), F.slice(w, n - back + 2, F.lit(back - 1))
+            return F.transform(spelling_variants(F.get(w, n - back)), lambda v: F.array_join(F.concat(before, F.array(v), after), " "))
 
-    none = F.array().cast("array<string>")
-    every = F.concat(F.array(full), F.array(swap), F.coalesce(respell(1), none), F.coalesce(F.when(n > 1, respell(2)), none))
-    return F.slice(F.array_distinct(F.filter(every, lambda v: v.isNotNull() & (v != ""))), 1, most)
+        none = F.array().cast("array<string>")
+        every = F.concat(F.array(F.array_join(w, " ")), F.array(swap), respell(1), F.when(n > 1, respell(2)).otherwise(none))
+        return F.slice(F.array_distinct(F.filter(every, lambda v: v.isNotNull() & (v != ""))), 1, most)
+
+    return let(F.split(clean(x), " "), variants)
 
 
 def paternal_surname(x: Column | str) -> Column:
@@ -112,18 +125,27 @@ def longest_spelling(x: Column | str) -> Column:
     return F.coalesce(F.array_max(ranked)["p"], F.lit(""))
 
 
+def has_any(x: Column, patterns: list[str]) -> Column:
+    """Whether one of the literal ``patterns`` is a part of the text."""
+    return reduce(or_, [F.contains(x, F.lit(p)) for p in patterns])
+
+
 def first_match(x: Column | str, rules: list[tuple[str, list[str]]], default: str | None = "") -> Column:
     """Label of the first rule that has a pattern in the text."""
-    out = None
-    for label, patterns in rules:
-        hit = col(x).rlike("|".join(re.escape(p) for p in patterns))
-        out = F.when(hit, label) if out is None else out.when(hit, label)
-    return out.otherwise(F.lit(default))
+
+    def pick(t: Column) -> Column:
+        out = None
+        for label, patterns in rules:
+            hit = has_any(t, patterns)
+            out = F.when(hit, label) if out is None else out.when(hit, label)
+        return out.otherwise(F.lit(default))
+
+    return let(col(x), pick)
 
 
 def all_matches(x: Column | str, rules: list[tuple[str, list[str]]]) -> Column:
     """Labels of all rules that have a pattern in the text, in the rules' order."""
-    return F.array_compact(F.array(*[F.when(col(x).rlike("|".join(re.escape(p) for p in patterns)), label) for label, patterns in rules]))
+    return let(col(x), lambda t: F.array_compact(F.array(*[F.when(has_any(t, patterns), label) for label, patterns in rules])))
 
 
 def estimated_tokens(text: Column | str, images: Column | int = 0, output: Column | int = 0) -> Column:

@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from cairn import queries
 from cairn.functions import fields, ids
+from cairn.functions import text as T
 from cairn.operators import geo
 
 
@@ -23,3 +25,17 @@ def test_digits_of_a_word_are_no_number(spark):
     names = {"A12 LUZ FAM123456": ([], "A12 LUZ FAM123456"), "Ana Mora CI12.345.678": (["12345678"], "Ana Mora"), "Luis cédula: 9876543": (["9876543"], "Luis"), "V-9876543 Eva": (["9876543"], "Eva"), "Jose 1234567": (["1234567"], "Jose")}
     rows = spark.createDataFrame([(n,) for n in names], "n string").select("n", ids.find_ids("n", ids.IN_NAMES), ids.strip_ids("n")).collect()
     assert {r[0]: (r[1], r[2]) for r in rows} == names
+
+
+def test_a_text_is_folded_once_for_all_its_tags(spark):
+    """fold_lower has two regular expressions; each tag had them again."""
+    plan = spark.range(1).select(fields.needs_tags(F.col("id").cast("string")).alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_replace") == 2
+    got = spark.createDataFrame([("Agua y pañales",), ("",), (None,)], "t string").select(fields.needs_tags("t")).collect()
+    assert [r[0] for r in got] == [["agua", "panales"], [], []]
+
+
+def test_a_name_is_cleaned_once_for_all_its_variants(spark, sf):
+    plan = spark.range(1).select(T.name_variants(F.col("id").cast("string")).alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_replace") == 1 + 2 * 2  # of the name, and of its last two words
+    assert queries.QUERIES["name_variants_persons"](spark, sf).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
