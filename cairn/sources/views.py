@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.session import table
+from cairn.session import spread, table
 
 _KEY = {
     "spark": "array_join(array_sort(array_distinct(split(upper(nm), ' '))), ' ')",
@@ -41,7 +41,7 @@ VIEWS = {"person_records": ("part", _PERSONS), "geo_sites": ("supplier", _SITES)
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     base, sql = VIEWS[name]
-    return spark.sql(sql.format(key=_KEY["spark"], table="{t}"), t=table(spark, sf_dir, base))
+    return spark.sql(sql.format(key=_KEY["spark"], table="{t}"), t=spread(table(spark, sf_dir, base)))
 
 
 def ctes(*names: str) -> str:
