@@ -67,3 +67,21 @@ def test_candidate_pairs_and_their_relations_equal_brute_force(spark):
     assert len(lists) == 150 * 149 // 2
     p = resolve.placed(records).filter("number_block is not null")
     assert resolve.flip_totals(p, 3).first() == resolve.flip_totals(p).first()
+
+
+def test_flip_edges_equal_brute_force(spark):
+    rows = people(150, 5)
+    records = spark.createDataFrame(rows, "record_id long, name_key string, ci string, age string")
+    p = resolve.profiles(records)
+    block = lambda n: n.split()[0][:3]
+    want = set()
+    for a in rows:
+        for b in rows:
+            v, w = set(a[1].split()), set(b[1].split())
+            if a[0] < b[0] and resolve.related(a[2], b[2]) == "flip" and v and w and len(v & w) / min(len(v), len(w)) >= 0.5 and (a[2][:4] == b[2][:4] or block(a[1]) == block(b[1])):
+                want.add((a[0], b[0]))
+    for most in (256, 2):
+        got = [(x.a, x.b) for x in resolve.flip_edges(p, most).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and want
+    got = {(x.i, x.j) for x in resolve.matches(records).collect() if x.reason == "ci_flip+name"}
+    assert got == want
