@@ -9,6 +9,7 @@ from cairn import queries
 from cairn.functions import fields, ids
 from cairn.functions import text as T
 from cairn.operators import geo, resolve
+from cairn.sources.views import view
 
 
 def test_hours_are_counted_to_the_microsecond(spark):
@@ -85,3 +86,8 @@ def test_flip_edges_equal_brute_force(spark):
         assert len(got) == len(set(got)) and set(got) == want and want
     got = {(x.i, x.j) for x in resolve.matches(records).collect() if x.reason == "ci_flip+name"}
     assert got == want
+
+
+def test_views_are_spread_over_the_cores(spark, sf):
+    """One row group held all parts, so that one task did all households."""
+    assert view(spark, sf, "person_records").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
