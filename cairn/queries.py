@@ -13,7 +13,7 @@ from cairn.functions.geo import haversine_km, inside
 from cairn.functions.register import register
 from cairn.operators import centers, federated, geo, households, registry, resolve, review, search
 from cairn.plans.question import answer
-from cairn.session import table
+from cairn.session import cut, table
 from cairn.sources import readers
 from cairn.sources.views import ctes, view
 from cairn.streaming.state import tumbling
@@ -523,7 +523,7 @@ def household_ids(spark, sf):
 every as (select x.id person, y.id member, 'household' kind, 0 weight from roots x join roots y on x.root = y.root and x.id <> y.id union all select a, b, kind, weight from house_edges union all select b, a, kind, weight from house_edges)
 select person, member, kind from (select *, row_number() over (partition by person, member order by weight desc, kind) r from every) where r = 1""")
 def household_members(spark, sf):
-    e = _households(spark, sf)
+    e = cut(_households(spark, sf))
     return households.members(households.households(e), e)
 
 
